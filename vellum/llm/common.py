@@ -99,6 +99,15 @@ def append_columns(df: DataFrame, added: list[tuple[str, T.DataType]], work: Cal
     return df.mapInArrow(run, schema)
 
 
+#: Bytes of words stay, A-Z as a-z; every other byte becomes a space.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def fold_words(text: bytes) -> list[bytes]:
+    """Runs of letters, digits and all that is not ASCII, with A-Z as a-z."""
+    return text.translate(_FOLD).split()
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -25,19 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import append_columns, prepare, raw_texts
+from vellum.llm.common import append_columns, fold_words, prepare, raw_texts
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
 
-#: Bytes of words stay, A-Z as a-z; every other byte becomes a space.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-
-def words(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
-
-
 class Items:
     """A block of test items as numbers: their distinct windows, and all of their suffixes."""
 
@@ -51,7 +43,7 @@ class Items:
         found: dict[tuple[int, ...], list[int]] = {}
         first: dict[tuple[int, ...], int] = {}
         for name, text in rows:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in fold_words(text)]
             if not ids:
                 continue
             n = min(window, len(ids))
@@ -78,7 +70,7 @@ class Shard:
     def __init__(self, docs: list[bytes], items: Items):
         vocabulary, parts, self.n_words = items.vocabulary, [], []
         for text in docs:
-            w = words(text)
+            w = fold_words(text)
             self.n_words.append(len(w))
             parts += [np.fromiter(map(vocabulary.get, w, repeat(0)), dtype=np.int64, count=len(w)), np.zeros(1, np.int64)]
         all_ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
