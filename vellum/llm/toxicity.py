@@ -1,15 +1,19 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models.
+"""Toxicity by class-conditional Kneser-Ney models.
 
-Words of labelled texts are counted for each class. P(w | v, class) is the discounted bigram count of
-the class, backing off to its discounted unigram count, backing off to how many different words
-precede w in either class: that last level is shared, so an expression that is rare in both classes
-says little of either. The score of a text is a logistic curve over its length-normalised log
-likelihood ratio (by the number of words, and by its square root), fitted on labelled texts that the
-counts have not seen.
+Expressions of labelled texts are counted for each class. An expression is a pair of words, which
+backs off to the second word, which backs off to its first 6, 5 and 4 bytes. As in Kneser-Ney
+smoothing, counts are discounted by D = n1 / (n1 + 2 n2), the lower levels count in how many different
+words a beginning continues rather than how often it is read, and what is taken off, with a constant
+BACKOFF, goes to the level below; the last level is shared by both classes, so an expression that is
+rare in both says little for either. Everything is kept as the log ratio of the two classes.
+
+The score of a text is a logistic curve over its length-normalised log likelihood ratios (of all
+words, and of those that speak clearly for one class), fitted on labelled texts that the counts have
+not seen.
 
 Counts come from at most SAMPLE labelled texts of each class, those with the smallest hashes of
-their ids, and the curve from as many others; this bounds the model, which is broadcast. All texts
-are scored whole.
+their ids, one of each set of near copies, and the curve from as many others; this bounds the model,
+which is broadcast. All texts are scored whole.
 
 Cases: null and empty texts have a ratio of 0 and get the curve's value there; ids that are labelled
 twice are toxic if any label says so; null labels are passed over; without labelled texts of both
@@ -22,7 +26,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,63 +33,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import append_columns, fold_words, id_crc, prepare, raw_texts
+from vellum.llm.common import Scratch, append_columns, fold_words, id_crc, prepare, raw_texts
 
 SAMPLE = 4000
-#: Expressions counted more often than this are kept one by one; rarer ones are left to the backoff.
-LEAST_WORD, LEAST_PAIR = 3, 2
+#: Words and pairs counted less often than this are left to the backoff.
+LEAST_WORD, LEAST_PAIR, LEAST_STEM = 5, 5, 3
+STEMS = (4, 5, 6)
+BACKOFF = 10.0
+#: A log ratio above this speaks clearly for the toxic class.
+CLEAR = 2.0
 START = b""
 
 
+class Vocabulary(dict):
+    """Numbers of words; an unknown word has that of its longest known beginning, or 0."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.known = known
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > len(self.known) + 500_000:
+            self.clear()
+            self.update(self.known)
+        at = 0
+        for k in STEMS[::-1]:
+            if len(word) >= k and (at := self.known.get(b"\0" + word[:k], 0)):
+                break
+        self[word] = at
+        return at
+
+    def __reduce__(self):
+        return Vocabulary, (self.known,)
+
+
 @dataclass
 class Model:
-    vocabulary: dict[bytes, int]  # 1 and up
-    word: np.ndarray  # log ratio of the classes' unigram level, by word
-    back: np.ndarray  # log ratio of the backoff weights, by the word before
-    pairs: np.ndarray  # sorted keys of kept bigrams
+    vocabulary: Vocabulary  # words and, behind a zero byte, beginnings of words; 1 and up
+    word: np.ndarray  # log ratio of each
+    pairs: np.ndarray  # sorted keys of kept pairs
     pair: np.ndarray  # their log ratios
-    curve: np.ndarray  # of the ratio by words, by their root, and 1
+    curve: np.ndarray
     prior: float
 
-    def ratios(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Log likelihood ratio and number of words of each text."""
-        n = np.zeros(len(docs), np.int64)
-        out = np.zeros(len(docs))
-        get, size = self.vocabulary.get, len(self.word)
-        start = get(START, 0)
-        parts = []
+    def ratios(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the log likelihood ratio, the part of it that is clear, and the number of words."""
+        n, parts = np.zeros(len(docs), np.int64), []
+        get, size = self.vocabulary.__getitem__, len(self.word)
+        start = get(START)
         for d, text in enumerate(docs):
             w = fold_words(text)
             n[d] = len(w)
             ids = np.empty(len(w) + 1, np.int64)
             ids[0] = start
-            ids[1:] = np.fromiter(map(get, w, repeat(0)), dtype=np.int64, count=len(w))
+            ids[1:] = np.fromiter(map(get, w), dtype=np.int64, count=len(w))
             parts.append(ids)
         if not parts:
-            return out, n
+            return np.zeros(0), np.zeros(0), n
         ids = np.concatenate(parts)
         first = np.concatenate(([0], np.cumsum(n + 1)))[:-1]
-        before = np.concatenate(([0], ids[:-1]))
-        value = np.where(ids > 0, self.word[ids] + self.back[before], 0.0)
-        both = np.flatnonzero((ids > 0) & (before > 0))
-        if len(self.pairs) and len(both):
-            key = before[both] * size + ids[both]
+        value = self.word[ids]
+        if len(self.pairs):
+            key = np.concatenate(([0], ids[:-1])) * size + ids
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            same = self.pairs[at] == key
-            value[both[same]] = self.pair[at[same]]
+            same = np.flatnonzero(self.pairs[at] == key)
+            value[same] = self.pair[at[same]]
         value[first] = 0.0
-        return np.add.reduceat(value, first), n
+        return np.add.reduceat(value, first), np.add.reduceat(np.where(value > CLEAR, value, 0.0), first), n
 
     def scores(self, docs: list[bytes]) -> np.ndarray:
-        ratio, n = self.ratios(docs)
         if not self.curve.any():
             return np.full(len(docs), self.prior)
-        return 1 / (1 + np.exp(-np.clip(_features(ratio, n) @ self.curve, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_features(*self.ratios(docs)) @ self.curve, -30, 30)))
 
 
-def _features(ratio: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _features(ratio: np.ndarray, clear: np.ndarray, n: np.ndarray) -> np.ndarray:
     length = np.maximum(n, 1)
-    return np.column_stack((10 * ratio / length, ratio / np.sqrt(length), np.ones(len(ratio))))
+    return np.column_stack((10 * ratio / length, ratio / np.sqrt(length), clear / np.sqrt(length), np.log1p(clear), np.ones(len(ratio))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -108,7 +131,18 @@ def _sample(documents: DataFrame, marks: DataFrame, size: int) -> DataFrame:
     chosen = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for c in (0, 1)]
     ids = chosen[0].unionAll(chosen[1])
     #: At most 2 * size ids.
-    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    found = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = found.withColumn("shingles", _shingles())
+    for seed in range(2):
+        least = F.array_min(F.transform("shingles", lambda x, seed=seed: F.xxhash64(x, F.lit(seed))))
+        found = found.withColumn("least", F.coalesce(least, F.xxhash64("text"))).dropDuplicates(["toxic", "least"])
+    return found.select("doc_id", "text", "toxic")
+
+
+def _shingles():
+    """Hashes of each three words in a row, for telling near copies."""
+    w = F.transform(F.split(F.lower("text"), r"\s+"), lambda x: F.xxhash64(x))
+    return F.zip_with(F.zip_with(w, F.slice(w, 2, 1_000_000_000), lambda a, b: F.xxhash64(a, b)), F.slice(w, 3, 1_000_000_000), lambda a, b: F.xxhash64(a, b))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +163,17 @@ def _discount(counts: DataFrame, column: str) -> float:
     return one / (one + 2 * two) if one else 0.5
 
 
+def _level(table, counts: list, discounts: list[float], names: list, below: list, ratio: dict, out: dict | None = None) -> None:
+    """Log ratios of a level's expressions from their counts and the level below; into out, or ratio itself."""
+    if not len(table):
+        return
+    less = 1 / (1 + np.exp(-np.array([ratio.get(b, 0.0) for b in below])))
+    a0, a1 = (np.maximum(np.asarray(c, float) - d, 0) for c, d in zip(counts, discounts, strict=True))
+    freed = BACKOFF + sum(d * (np.asarray(c, float) > 0) for c, d in zip(counts, discounts, strict=True))
+    share = (a1 + freed * less) / (a0 + a1 + freed)
+    (ratio if out is None else out).update(zip(names, np.log(share / (1 - share)).tolist(), strict=True))
+
+
 def fit(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     """The model from labelled documents outside the held-out fifth (crc32 of the id, modulo 5, is 0)."""
     spark = prepare(documents.sparkSession)
@@ -136,61 +181,53 @@ def fit(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     marks = marks.withColumn("fold", id_crc() % 5).where("fold <> 0")
     n = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     prior = n.get(1, 0) / max(1, sum(n.values()))
-    nothing = Model({}, np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), np.zeros(3), prior)
+    nothing = Model(Vocabulary({}), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), np.zeros(5), prior)
     if not n.get(0) or not n.get(1):
         return nothing
-    seen = _sample(documents, marks.where("fold <> 4"), size)
-    pairs = seen.mapInArrow(_count, "v binary, w binary, toxic int, n long").groupBy("v", "w").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1")).persist()
-    by_word = pairs.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("before"))
-    by_left = pairs.groupBy(F.col("v").alias("w")).agg(F.sum("n0").alias("l0"), F.sum("n1").alias("l1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"))
-    kept = by_word.where(F.col("n0") + F.col("n1") >= LEAST_WORD)
-    table = kept.join(by_left, "w", "left").toPandas().fillna(0)
-    start = by_left.where(F.col("w") == F.lit(START)).toPandas()
-    all_pairs, pair_discount = pairs.count(), [_discount(pairs, c) for c in ("n0", "n1")]
-    word_discount, totals = [_discount(by_word, c) for c in ("n0", "n1")], by_word.select(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
-    words = kept.select("w")
-    often = pairs.where(F.col("n0") + F.col("n1") >= LEAST_PAIR).join(words, "w", "left_semi").join(words.select(F.col("w").alias("v")).unionAll(spark.createDataFrame([(bytearray(START),)], "v binary")), "v", "left_semi").toPandas()
-    pairs.unpersist()
-    if not len(table) or not totals[0] or not totals[1]:
+    pairs = _sample(documents, marks.where("fold <> 4"), size).mapInArrow(_count, "v binary, w binary, toxic int, n long")
+    sides = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
+    pairs = Scratch(spark, "toxicity").save(pairs.groupBy("v", "w").agg(*sides))
+    by_word = pairs.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    totals = by_word.select(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
+    if not totals[0] or not totals[1]:
         return nothing
-    vocabulary = {START: 1} | {bytes(w): k + 2 for k, w in enumerate(table.w)}
-    size_v = len(vocabulary) + 1
-    shared = np.concatenate(([0, 0], table.before.to_numpy(float) / all_pairs))
-    unigram, lam, left = [], [], []
-    for c in (0, 1):
-        d = word_discount[c]
-        mass = d * totals[2 + c] / totals[c]
-        counted = np.concatenate(([0, 0], table[f"n{c}"].to_numpy(float)))
-        unigram.append(np.maximum(counted - d, 0) / totals[c] + mass * shared)
-        l_n = np.concatenate(([0], start[f"l{c}"].to_numpy(float) if len(start) else [0], table[f"l{c}"].to_numpy(float)))
-        l_k = np.concatenate(([0], start[f"k{c}"].to_numpy(float) if len(start) else [0], table[f"k{c}"].to_numpy(float)))
-        lam.append(np.where(l_n > 0, pair_discount[c] * l_k / np.maximum(l_n, 1), 1.0))
-        left.append(l_n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        word = np.where(unigram[0] > 0, np.log(unigram[1] / unigram[0]), 0.0)
-    back = np.log(lam[1] / lam[0])
-    v = np.fromiter((vocabulary[bytes(x)] for x in often.v), np.int64, len(often))
-    w = np.fromiter((vocabulary[bytes(x)] for x in often.w), np.int64, len(often))
-    prob = []
-    for c in (0, 1):
-        seen_n = np.maximum(often[f"n{c}"].to_numpy(float) - pair_discount[c], 0)
-        prob.append(np.where(left[c][v] > 0, seen_n / np.maximum(left[c][v], 1), 0) + lam[c][v] * unigram[c][w])
-    key = v * size_v + w
+    #: The larger class is scaled down to the smaller: no count speaks louder than it was read.
+    scale = [min(totals[:2]) / t for t in totals[:2]]
+    types = [min(totals[2:]) / t for t in totals[2:]]
+    ratio: dict[bytes, float] = {}
+    for k in STEMS:
+        stems = by_word.where(F.length("w") >= k).groupBy(F.substring("w", 1, k).alias("w")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"))
+        table = stems.where(F.col("n0") + F.col("n1") >= LEAST_STEM).toPandas()
+        _level(table, [table.n0 * types[0], table.n1 * types[1]], [_discount(stems, c) for c in ("n0", "n1")], [b"\0" + bytes(w) for w in table.w], [b"\0" + bytes(w)[: k - 1] for w in table.w], ratio)
+    kept = by_word.where(F.col("n0") + F.col("n1") >= LEAST_WORD)
+    table = kept.toPandas()
+    names = [bytes(w) for w in table.w]
+    below = [next((s for k in STEMS[::-1] if len(w) >= k and (s := b"\0" + w[:k]) in ratio), b"") for w in names]
+    _level(table, [table.n0 * scale[0], table.n1 * scale[1]], [_discount(by_word, c) for c in ("n0", "n1")], names, below, ratio)
+    vocabulary = {w: k + 1 for k, w in enumerate([START, *ratio])}
+    word = np.array([0.0, 0.0, *ratio.values()])
+    words, first = kept.select("w"), spark.createDataFrame([(bytearray(START),)], "v binary")
+    left = pairs.groupBy("v").agg(F.sum("n0").alias("l0"), F.sum("n1").alias("l1"))
+    often = pairs.where(F.col("n0") + F.col("n1") >= LEAST_PAIR).join(words, "w", "left_semi").join(words.select(F.col("w").alias("v")).unionAll(first), "v", "left_semi").join(left, "v").toPandas()
+    names = [(bytes(v), bytes(w)) for v, w in zip(often.v, often.w, strict=True)]
+    least = often[["l0", "l1"]].min(axis=1)
+    both: dict = {}
+    _level(often, [often.n0 * least / often.l0.clip(lower=1), often.n1 * least / often.l1.clip(lower=1)], [_discount(pairs, c) for c in ("n0", "n1")], names, [w for _, w in names], ratio, both)
+    key = np.array([vocabulary[v] * len(word) + vocabulary[w] for v, w in names], dtype=np.int64)
     order = np.argsort(key)
-    word = np.concatenate((word, [0.0]))[:size_v]
-    model = Model(vocabulary, word, np.concatenate((back, [0.0]))[:size_v], key[order], np.log(prob[1] / prob[0])[order], np.zeros(3), prior)
+    model = Model(Vocabulary(vocabulary), word, key[order], np.array(list(both.values()), dtype=float)[order], np.zeros(5), prior)
     held = spark.sparkContext.broadcast(model)
 
-    def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             yield list(held.value.ratios(raw_texts(batch)))
 
-    rest = append_columns(_sample(documents, marks.where("fold = 4"), size), [("ratio", T.DoubleType()), ("words", T.LongType())], ratio).select("toxic", "ratio", "words").toPandas()
+    rest = append_columns(_sample(documents, marks.where("fold = 4"), size), [("ratio", T.DoubleType()), ("clear", T.DoubleType()), ("words", T.LongType())], measured).select("toxic", "ratio", "clear", "words").toPandas()
     if rest.toxic.nunique() == 2:
         y = rest.toxic.to_numpy(float)
         share = y.mean()
         weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
-        model.curve = _logistic(_features(rest.ratio.to_numpy(), rest.words.to_numpy()), y, weight)
+        model.curve = _logistic(_features(*(rest[c].to_numpy() for c in ("ratio", "clear", "words"))), y, weight)
     return model
 
 
