@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontamination, sharding, toxicity
+from vellum.llm import decontamination, pii, sharding, topk, toxicity
 from vellum.llm.common import read
 
 
@@ -18,12 +18,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(read(spark, sf_dir, "embeddings"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
+        "op7_topk": op7_topk,
         "op9_toxicity": op9_toxicity,
         "op8_sharding": op8_sharding,
         "op10_decontamination": op10_decontamination,
@@ -31,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": decontamination.REPORT_SQL}
+    return {"op7_topk": topk.REPORT_SQL, "op10_decontamination": decontamination.REPORT_SQL}
