@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontamination, pii, sharding, topk, toxicity
+from vellum.llm import decontamination, packing, pii, sharding, topk, toxicity
 from vellum.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(read(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.report(read(spark, sf_dir, "embeddings"))
 
@@ -33,6 +37,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_packing": op2_packing,
         "op7_topk": op7_topk,
         "op9_toxicity": op9_toxicity,
         "op8_sharding": op8_sharding,
