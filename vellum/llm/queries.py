@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontamination, near_dedup, packing, pii, sharding, topk, toxicity
+from vellum.llm import decontamination, line_dedup, near_dedup, packing, pii, sharding, topk, toxicity
 from vellum.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(read(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_packing": op2_packing,
+        "op5_line_dedup": op5_line_dedup,
         "op6_near_dedup": op6_near_dedup,
         "op7_topk": op7_topk,
         "op9_toxicity": op9_toxicity,
