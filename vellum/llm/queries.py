@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontamination, line_dedup, near_dedup, packing, pii, quality, sharding, topk, toxicity
+from vellum.llm import decontamination, line_dedup, lm_scoring, near_dedup, packing, pii, quality, sharding, topk, toxicity
 from vellum.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(read(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.report(read(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_packing": op2_packing,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_quality": op4_quality,
         "op5_line_dedup": op5_line_dedup,
         "op6_near_dedup": op6_near_dedup,
