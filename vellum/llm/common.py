@@ -88,6 +88,16 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Columns that operators read or change under these names.
+_OWN = ("doc_id", "text", "n_chars")
+
+
+def shielded(documents: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """change() of documents, by which only rows go or texts change, whatever other columns are called."""
+    safe = [c if c in _OWN else f"other{k}" for k, c in enumerate(documents.columns)]
+    return change(documents.toDF(*safe)).select(*safe).toDF(*documents.columns)
+
+
 def append_columns(df: DataFrame, added: list[tuple[str, T.DataType]], work: Callable[[Iterator[pa.RecordBatch]], Iterator[list[pa.Array]]], replace: bool = False) -> DataFrame:
     """df with columns that work() computes from Arrow batches; all others pass through untouched.
 

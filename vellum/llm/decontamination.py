@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import append_columns, fold_words, prepare, raw_texts
+from vellum.llm.common import append_columns, fold_words, prepare, raw_texts, shielded
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -224,8 +224,7 @@ def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WI
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """documents without those that share at least one word in `share` with windows of test items."""
-    found = find_contamination(documents, benchmark, window)
-    return found.where(~_contaminated(share)).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return shielded(documents, lambda d: find_contamination(d, benchmark, window).where(~_contaminated(share)))
 
 
 def _n_hit():

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import append_columns, id_crc, prepare, texts
+from vellum.llm.common import append_columns, id_crc, prepare, shielded, texts
 
 FEATURES = 1 << 16
 SAMPLE = 6000
@@ -159,7 +159,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 def select_good(documents: DataFrame, model: Model, above: int = 0, threshold: float = 0.5) -> DataFrame:
     """Documents whose grade is above `above` with a probability of at least the threshold."""
-    return score(documents, model).where(F.get("quality_tails", F.lit(above)) >= threshold).drop("quality_grade", "quality_tails")
+    return shielded(documents, lambda d: score(d, model).where(F.get("quality_tails", F.lit(above)) >= threshold))
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import Scratch, append_columns, fold_words, id_crc, prepare, raw_texts
+from vellum.llm.common import Scratch, append_columns, fold_words, id_crc, prepare, raw_texts, shielded
 
 SAMPLE = 4000
 #: Words and pairs counted less often than this are left to the backoff.
@@ -243,7 +243,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    return score(documents, model).where(F.col("tox_score") < threshold).drop("tox_score")
+    return shielded(documents, lambda d: score(d, model).where(F.col("tox_score") < threshold))
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
