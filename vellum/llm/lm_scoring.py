@@ -135,6 +135,14 @@ def contexts(classes: list[np.ndarray], before: int) -> tuple[np.ndarray, np.nda
     return (np.concatenate(c1), np.concatenate(c2), np.concatenate(classes)) if classes else (np.zeros(0, np.int64),) * 3
 
 
+def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to those of `to`; rows for one place are added up first."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    to[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 def train(model: Model, batches: Iterator[list[np.ndarray]], seed: int) -> int:
     """One pass of NCE over class sequences, with noise shared by a mini-batch; returns the tokens seen."""
     rng = np.random.default_rng(seed)
@@ -158,10 +166,7 @@ def train(model: Model, batches: Iterator[list[np.ndarray]], seed: int) -> int:
             size = np.float32(len(at))
             g_q = (data[:, None] * rt + fake @ rn) / size
             g_r, g_b = np.zeros_like(model.r), np.zeros_like(model.b)
-            np.add.at(g_r, i, (data[:, None] * q) / size)
-            np.add.at(g_r, noise, (fake.T @ q) / size)
-            np.add.at(g_r, i1, g_q @ model.m1.T)
-            np.add.at(g_r, i2, g_q @ model.m2.T)
+            _add_rows(g_r, np.concatenate((i, noise, i1, i2)), np.concatenate(((data[:, None] * q) / size, (fake.T @ q) / size, g_q @ model.m1.T, g_q @ model.m2.T)))
             np.add.at(g_b, i, data / size)
             np.add.at(g_b, noise, fake.sum(0) / size)
             for a, g, s in zip(model.arrays(), (g_r, r1.T @ g_q, r2.T @ g_q, g_b), squares, strict=True):
