@@ -174,6 +174,11 @@ def test_lm_base_scores_and_normalised_classes(spark):
         assert r.score < 0
 
 
+def test_lm_numbers_are_packed_without_loss():
+    for ids in ([], [0], [1, 70_000, 2**24 - 1], [2**24, 5], list(range(1000))):
+        assert lm_scoring.unpacked(lm_scoring.packed(np.array(ids, dtype=np.int32))).tolist() == ids
+
+
 def test_lm_classes_add_up_to_one_and_training_helps():
     rng = np.random.default_rng(4)
     model = lm_scoring.begin(np.array([50.0, 30, 15, 5, 1, 1]))

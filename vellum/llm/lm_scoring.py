@@ -55,6 +55,19 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Numbers in three planes of bytes (the third is mostly 0 and compresses away); four where they are larger."""
+    planes = 3 if not len(ids) or ids.max() < 1 << 24 else 4
+    return bytes([planes]) + np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :planes].T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u4").ravel().astype(np.int64)
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         out = self[word] = len(self)
@@ -90,7 +103,7 @@ def _numbered(documents: DataFrame) -> DataFrame:
                 if not h:
                     np.add.at(counts, ids, 1)
                 size += len(w)
-                out.append(ids.astype("<i4").tobytes())
+                out.append(packed(ids))
             n = batch.num_rows
             none = [None] * n
             arrays = [[unit] * n, batch.column("doc_id"), batch.column("held_out"), out, none, none, none, none]
@@ -272,7 +285,7 @@ def score_documents(documents: DataFrame, words: int = WORDS, rounds: int = ROUN
         inside = np.where(k < n_top, 0.0, log_c - log_rest[k])
         n_tokens, n_known, base, within, classes = [], [], [], [], []
         for raw in texts.column("ids").to_pylist():
-            ids = np.frombuffer(raw, dtype="<i4")
+            ids = unpacked(raw)
             n_tokens.append(len(ids))
             n_known.append(int((c[ids] > 0).sum()))
             base.append(float(log_c[ids].sum() - log_all * len(ids)))
