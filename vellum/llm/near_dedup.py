@@ -10,10 +10,12 @@ t = floor(ln(weight) / r + b), the sample is the (s, t) of least ln(c) - r * (t
 agree in a sample with a probability equal to their weighted Jaccard similarity. BANDS bands of ROWS samples
 are compared; at similarity 0.8 a pair shares a band with probability 0.999.
 
-Equal texts are one from the start. Texts that share a band are a bucket. Each member of a bucket is verified
-against its first one (by id); those below the threshold against all members of the bucket, and so no
-link between two texts that share a band is lost, but pairs that a first one joins already are not made.
-Verification reads both texts whole. Classes are the connected components of the links, found by hooking
+Equal texts are one from the start. Texts that share a band are a bucket. A pair of them is a candidate if
+it agrees in at least AGREE of all samples (of 7 bits each); at similarity 0.8 that holds with probability
+0.9998. Each member of a bucket is verified against its first one (by id). Those that it doesn't join are
+verified against further members that it has joined, one in each of at most ROUNDS rounds, and what is left
+after that against all members of the bucket: so no link between candidates is lost that would join
+two classes, but pairs within what is joined already are not made. Verification reads both texts whole. Classes are the connected components of the links, found by hooking
 and pointer jumping on written tables.
 
 Cases: null texts count as empty, and all empty texts are equal; repeated rows are equal texts; ties go to
@@ -28,15 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import Scratch, append_columns, prepare, texts
+from vellum.llm.common import Scratch, append_columns, prepare, shielded, texts
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
+AGREE = 15
+ROUNDS = 10
 #: Counters of document frequency, by a hash of the shingle.
 COUNTERS = 1 << 18
 #: Shingles that are sampled at once.
@@ -154,9 +158,14 @@ def samples(s: np.ndarray, log_weight: np.ndarray, starts: np.ndarray, count: in
     return out
 
 
-def signatures(batch_texts: list[str], idf: np.ndarray) -> list[list[int]]:
-    """The band keys of each text; none for a text without words."""
+#: Numbers that hold 7 bits of each sample, 7 samples each.
+SKETCH = -(-BANDS * ROWS // 7)
+
+
+def signatures(batch_texts: list[str], idf: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+    """The band keys and the sketch of each text; no keys for a text without words."""
     out: list[list[int]] = [[] for _ in batch_texts]
+    sketches: list[list[int]] = [[0] * SKETCH for _ in batch_texts]
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def flush() -> None:
@@ -171,6 +180,11 @@ def signatures(batch_texts: list[str], idf: np.ndarray) -> list[list[int]]:
                 key = _mix(key * _U(0x9E3779B97F4A7C15) + (drawn[band * ROWS + row]))
             for x, v in zip(held, key.view(np.int64).tolist(), strict=True):
                 out[x[0]].append(v)
+        packed = np.zeros((SKETCH, len(held)), _U)
+        for k in range(BANDS * ROWS):
+            packed[k // 7] |= (_mix(drawn[k]) & _U(127)) << _U(8 * (k % 7))
+        for n, x in enumerate(held):
+            sketches[x[0]] = packed[:, n].astype(np.int64).tolist()
         held.clear()
 
     size = 0
@@ -183,7 +197,14 @@ def signatures(batch_texts: list[str], idf: np.ndarray) -> list[list[int]]:
             flush()
             size = 0
     flush()
-    return out
+    return out, sketches
+
+
+def _agree(a: str, b: str) -> Column:
+    """Whether two sketches agree in at least AGREE samples: a byte of their difference is 0 where they do."""
+    ones, tops = 0x007F7F7F7F7F7F7F, 0x0080808080808080
+    differ = [f"bit_count((({a}[{k}] ^ {b}[{k}]) + {ones}L) & {tops}L)" for k in range(SKETCH)]
+    return F.expr(" + ".join(differ)) <= BANDS * ROWS - AGREE
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
@@ -245,22 +266,38 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            yield [signatures(texts(batch), held.value)]
-
-    marked = append_columns(hashed, [("bands", T.ArrayType(T.LongType()))], work).drop("text")
-    signed = scratch.save(marked.groupBy("hash").agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("id"), F.first("bands").alias("bands")))
-    entries = signed.select("hash", "id", F.explode("bands").alias("band"))
-    heads = entries.groupBy("band").agg(F.min(F.struct("id", "hash")).alias("head"), F.count("*").alias("size")).where("size > 1").select("band", F.col("head.hash").alias("a"))
-    stars = scratch.save(entries.join(heads, "band").select("band", "a", F.col("hash").alias("b")).where("a <> b"))
-    docs = hashed.join(stars.select(F.col("a").alias("hash")).unionAll(stars.select(F.col("b").alias("hash"))).distinct(), "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text"))
+            yield list(signatures(texts(batch), held.value))
+
+    longs = T.ArrayType(T.LongType())
+    marked = append_columns(hashed, [("bands", longs), ("sketch", longs)], work).drop("text")
+    signed = scratch.save(marked.groupBy("hash").agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    entries = signed.select("hash", "id", "sketch", F.explode("bands").alias("band"))
+    heads = entries.groupBy("band").agg(F.min(F.struct("id", "hash", "sketch")).alias("h"), F.count("*").alias("size")).where("size > 1").select("band", F.col("h.hash").alias("a"), F.col("h.sketch").alias("sketch_a"))
+    #: Members of buckets with the one that they are to be verified against.
+    tried = scratch.save(entries.join(heads, "band").select("band", "hash", "sketch", "a", _agree("sketch", "sketch_a").alias("candidate"), (F.col("hash") == F.col("a")).alias("joined")))
+    near = tried.where("candidate and not joined").select(F.col("a").alias("hash")).unionAll(tried.where("not joined").select("hash")).distinct()
+    docs = hashed.join(near, "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text"))
     docs = scratch.save(docs)
-    links = scratch.save(_verified(stars.select("a", "b").distinct(), docs, held, threshold))
-    #: Bucket members that their first one doesn't join are verified against the whole bucket.
-    alone = scratch.save(stars.join(links, ["a", "b"], "left_anti").select("band", F.col("b").alias("x")))
-    within = stars.select("band", F.col("b").alias("y"))
-    more = alone.join(within, "band").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = []
+    for k in range(ROUNDS):
+        pairs = tried.where("candidate and not joined").select("a", F.col("hash").alias("b")).distinct()
+        found = scratch.save(_verified(pairs, docs, held, threshold))
+        if k and not found.limit(1).count():
+            break
+        links.append(found)
+        known = found.select("a", F.col("b").alias("hash"), F.lit(True).alias("hit"))
+        members = scratch.save(tried.join(known, ["a", "hash"], "left").select("band", "hash", "sketch", (F.col("joined") | F.coalesce("hit", F.lit(False))).alias("joined")))
+        #: The next to be verified against: any of those joined, another one in each round.
+        order = F.xxhash64("hash", F.lit(k))
+        next_heads = members.where("joined").groupBy("band").agg(F.min(F.struct(order.alias("o"), "hash", "sketch")).alias("h")).select("band", F.col("h.hash").alias("a"), F.col("h.sketch").alias("sketch_a"))
+        tried = scratch.save(members.join(next_heads, "band").select("band", "hash", "sketch", "a", (_agree("sketch", "sketch_a") & ~F.col("joined")).alias("candidate"), "joined"))
+    alone = tried.where("not joined").select("band", F.col("hash").alias("x"), F.col("sketch").alias("s"))
+    within = tried.select("band", F.col("hash").alias("y"), F.col("sketch").alias("t"))
+    more = alone.join(within, "band").where((F.col("x") != F.col("y")) & _agree("s", "t")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = scratch.save(_verified(more, docs, held, threshold))
-    return components(links.unionAll(more), scratch)
+    for found in links:
+        more = more.unionAll(found)
+    return components(more, scratch)
 
 
 def with_class(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -282,12 +319,15 @@ def first_of_class(documents: DataFrame, threshold: float = THRESHOLD) -> DataFr
 
 def drop_near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class stays: that with the smallest id (of repeated rows, any one)."""
-    spark = documents.sparkSession
-    kept = first_of_class(documents, threshold).where("dup_hash = first_hash").select("dup_hash", "first_id")
-    rows = documents.withColumn("dup_hash", F.sha2(_text().cast("binary"), 256)).withColumn("dup_row", F.monotonically_increasing_id())
-    here = rows.join(kept, (rows["dup_hash"] == kept["dup_hash"]) & rows["doc_id"].eqNullSafe(kept["first_id"]), "left_semi")
-    light = Scratch(spark, "neardup").save(here.select("dup_hash", "dup_row").groupBy("dup_hash").agg(F.min("dup_row").alias("dup_row")))
-    return rows.join(light, ["dup_hash", "dup_row"], "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
+
+    def change(docs: DataFrame) -> DataFrame:
+        kept = first_of_class(docs, threshold).where("dup_hash = first_hash").select("dup_hash", "first_id")
+        rows = docs.withColumn("dup_hash", F.sha2(_text().cast("binary"), 256)).withColumn("dup_row", F.monotonically_increasing_id())
+        here = rows.join(kept, (rows["dup_hash"] == kept["dup_hash"]) & rows["doc_id"].eqNullSafe(kept["first_id"]), "left_semi")
+        light = Scratch(docs.sparkSession, "neardup").save(here.groupBy("dup_hash").agg(F.min("dup_row").alias("dup_row")))
+        return rows.join(light, ["dup_hash", "dup_row"], "left_semi")
+
+    return shielded(documents, change)
 
 
 def report(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
