@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -245,6 +246,20 @@ def test_line_dedup_is_all_pairs(spark):
     assert got == lines_by_brute_force(rows)
 
 
+def test_line_dedup_query_removes_short_lines_too(spark, tmp_path):
+    from vellum.llm import queries
+
+    rng = random.Random(16)
+    few = WORDS[:7]
+    rows = [(1, "all rights reserved\n\na b c d\none"), (2, "b a d c e\nAll  rights reserved\n \n\ntwo"), (3, "all rights reserved\n\na b c d\none"), (4, "all rights"), (5, "\n\n")]
+    rows += [(i, "\n".join(" ".join(rng.choice(few) for _ in range(rng.randrange(0, 8))) for _ in range(4))) for i in range(6, 60)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.kept_md5) for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == lines_by_brute_force(rows, least=1) and [got[i][0] for i in (1, 2, 3, 4, 5)] == [0, 2, 3, 0, 0]
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    assert 3 not in {r.doc_id for r in stage(spark, table(spark, rows), str(tmp_path)).collect()}
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = line_dedup.report(table(spark, [(1, "a b c d e f"), (2, "a b c d e f")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

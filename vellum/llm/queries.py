@@ -35,7 +35,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(read(spark, sf_dir, "documents"))
+    return line_dedup.report(read(spark, sf_dir, "documents"), least=line_dedup.EVERY)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
