@@ -157,6 +157,41 @@ def test_packing_neighbours_share_words():
         assert len({order[p] // 8 for p, a, b in window if b - a == 200}) == 1
 
 
+def bm25(query, piece, df, n, mean):
+    c = collections.Counter(piece.tolist())
+    return sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(piece) / mean)) for t in set(query.tolist()) & set(c))
+
+
+def test_packing_asks_all_shards_with_the_whole_seed(spark):
+    rng = np.random.default_rng(3)
+    pieces = [rng.integers(1, 300, rng.integers(60, 200)).astype("<u2") for _ in range(60)]
+    df = collections.Counter(t for p in pieces for t in set(p.tolist()))
+    idf, mean = np.zeros(1 << 16), float(np.mean([len(p) for p in pieces]))
+    for t, k in df.items():
+        idf[t] = math.log(1 + (60 - k + 0.5) / (k + 0.5))
+    opened = spark.createDataFrame([(i, 120, bytearray(pieces[i].tobytes())) for i in range(20)], "row long, space long, ids binary")
+    free = spark.createDataFrame([(i, 0, len(pieces[i]), bytearray(pieces[i].tobytes())) for i in range(20, 60)], "row long, at long, length long, ids binary")
+    found = packing.hits(opened, free, spark.sparkContext.broadcast(idf), mean, 20, 40, index_pieces=7).collect()
+    for i in range(20):
+        fits = sorted(((bm25(pieces[i], pieces[j], df, 60, mean), j) for j in range(20, 60) if len(pieces[j]) <= 120), reverse=True)[: packing.HITS]
+        got = sorted(((r.score, r.row) for r in found if r.seed == i), reverse=True)
+        assert [j for _, j in got] == [j for _, j in fits] and [x for x, _ in got] == pytest.approx([x for x, _ in fits], rel=1e-4)
+
+
+def test_packing_of_many_shards_fills_all_windows_but_one_with_neighbours(spark):
+    rng = random.Random(12)
+    words = {t: [f"{a}{b}" for a in rng.sample(WORDS, 5) for b in rng.sample(WORDS, 4)] for t in range(20)}
+    rows = [(i, " ".join(rng.choice(words[i % 20]) for _ in range(rng.choice((50, 70, 90))))) for i in range(240)]
+    out = packing.pack(table(spark, rows), shard_pieces=12, index_pieces=30).collect()
+    windows = collections.defaultdict(list)
+    for r in out:
+        windows[r.sequence_id].append(r)
+    assert sum(sum(r.length for r in w) < 1024 for w in windows.values()) <= 1
+    assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+    most = [max(collections.Counter(r.doc_id % 20 for r in w).values()) / len(w) for w in windows.values()]
+    assert np.mean(most) > 0.6
+
+
 # -- 3
 
 
