@@ -357,6 +357,25 @@ def test_top_k_is_exact(spark):
         assert got == want
 
 
+def test_top_k_reads_all_components_of_wider_vectors(spark):
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(4, 150))
+    x = centres[rng.integers(0, 4, 200)] + rng.normal(scale=0.5, size=(200, 150))
+    x[:, :64] = 1.0
+    x[60:70] = x[0]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(300, [1.0] * 64), (301, [1.0] * 70), (302, [])]
+    bits = {i: np.array([v > 0 for v in r] + [False] * (150 - len(r))) for i, r in rows}
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {q: sorted((int((bits[q] != b).sum()), i) for i, b in bits.items())[:10] for q in bits if q % 50 == 0}
+    got = collections.defaultdict(list)
+    for r in sorted(topk.report(vectors).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.distance, r.vec_id))
+    assert got == want
+    codes = topk.with_code(vectors)
+    parts = topk.top_k(codes, codes.where("id % 50 = 0"), block_codes=40, block_queries=2).collect()
+    assert sorted((r.query_id, r.distance, r.id) for r in parts) == sorted((q, *d) for q, ds in want.items() for d in ds)
+
+
 # -- 8
 
 

@@ -1,14 +1,14 @@
 """Exact top-k search in binary codes by incremental multi-index hashing.
 
-An embedding's code has a bit for each of its 64 components, set where the component is above 0. Codes
-are dealt into blocks by a hash, queries into blocks of their own, and each pair of blocks is searched
-in one task. A block indexes its distinct codes by SEGMENTS segments. A query probes every segment at
-radius 0, 1, 2, ...; after radius r all codes nearer than SEGMENTS * (r + 1) have been seen, so the
+An embedding's code has a bit for each of its components, set where the component is above 0, in as many
+words of 64 bits as the longest vector fills. Codes are dealt into blocks by a hash, queries into blocks of their own, and each pair of blocks is searched
+in one task. A block indexes its distinct codes by SEGMENTS segments a word. A query probes every segment at
+radius 0, 1, 2, ...; after radius r all codes nearer than (r + 1) times the segments have been seen, so the
 search of a query ends as soon as its kth verified distance is below that. Equal codes are one entry
 of the index with a list of ids, and blocks give k rows a query, so a code shared by a third of all
 rows costs nothing more. The k best of all blocks are the k best of all.
 
-Cases: null components and those past the 64th count as not set, missing ones too; a null embedding
+Cases: null components count as not set, missing ones too; a null embedding
 or id is neither found nor a query; ties of distance go to the smaller id; repeated rows count once;
 a query may find itself, at distance 0; with fewer than k codes all are returned; empty tables give no
 rows.
@@ -34,30 +34,41 @@ BLOCK_CODES, BLOCK_QUERIES = 32_768, 4096
 
 
 def with_code(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """id and code (a long) of every vector that has both."""
-    code = F.expr(f"aggregate(transform(slice(`{column}`, 1, {BITS}), (x, k) -> if(coalesce(x > 0, false), shiftleft(1L, k), 0L)), 0L, (a, b) -> a | b)")
-    return vectors.where(F.col(column).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), code.alias("code")).dropDuplicates(["id"])
+    """id and code (a long, or an array of longs where a vector has more than BITS components) of every vector that has both."""
+    given = vectors.where(F.col(column).isNotNull() & F.col(id_column).isNotNull())
+    words = -(-(given.agg(F.max(F.size(column))).first()[0] or 0) // BITS)
+    word = f"aggregate(transform(slice(`{column}`, {{}}, {BITS}), (x, k) -> if(coalesce(x > 0, false), shiftleft(1L, k), 0L)), 0L, (a, b) -> a | b)"
+    code = F.expr(word.format(1)) if words <= 1 else F.array(*(F.expr(word.format(BITS * w + 1)) for w in range(words)))
+    return given.select(F.col(id_column).cast("long").alias("id"), code.alias("code")).dropDuplicates(["id"])
+
+
+def _words(codes: pa.ChunkedArray) -> np.ndarray:
+    """A row of words for each code."""
+    n, codes = len(codes), codes.combine_chunks()
+    return (codes.flatten() if pa.types.is_list(codes.type) else codes).to_numpy().view(np.uint64).reshape(n, -1)
 
 
 def _masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for c in combinations(range(WIDTH), radius)], dtype=np.uint64)
 
 
+def _segments(codes: np.ndarray) -> list[np.ndarray]:
+    return [(word >> np.uint64(WIDTH * s)) & np.uint64((1 << WIDTH) - 1) for word in codes.T for s in range(SEGMENTS)]
+
+
 class Index:
     """The distinct codes of a block, findable by each segment's value."""
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.by = codes, []
-        for s in range(SEGMENTS):
-            part = (codes >> np.uint64(WIDTH * s)) & np.uint64((1 << WIDTH) - 1)
+        for part in _segments(codes):
             order = np.argsort(part, kind="stable")
             self.by.append((order, np.searchsorted(part[order], np.arange((1 << WIDTH) + 1, dtype=np.uint64))))
 
     def candidates(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of query and code whose distance in some segment is the radius, each once for a segment."""
         masks, who, what = _masks(radius), [], []
-        for s, (order, offset) in enumerate(self.by):
-            part = (query >> np.uint64(WIDTH * s)) & np.uint64((1 << WIDTH) - 1)
+        for part, (order, offset) in zip(_segments(query), self.by, strict=True):
             value = (part[:, None] ^ masks[None, :]).astype(np.int64)
             a, n = offset[value], offset[value + 1] - offset[value]
             hit = np.nonzero(n)
@@ -80,8 +91,8 @@ def search(codes: np.ndarray, weight: np.ndarray, queries: np.ndarray, k: int, s
             who, what = index.candidates(query[live], radius)
             pairs = np.unique(np.concatenate((pairs, live[who] * len(codes) + what)))
             q, c = np.divmod(pairs, len(codes))
-            distance = np.bitwise_count(query[q] ^ codes[c]).astype(np.int64)
-            covered = SEGMENTS * (radius + 1) - 1
+            distance = np.bitwise_count(query[q] ^ codes[c]).sum(axis=1, dtype=np.int64)
+            covered = len(index.by) * (radius + 1) - 1
             near = distance <= covered
             count = np.bincount(q[near], weights=weight[c[near]], minlength=len(query))
             done = (count[live] >= min(k, total)) if radius < WIDTH else np.ones(len(live), bool)
@@ -97,9 +108,9 @@ def search(codes: np.ndarray, weight: np.ndarray, queries: np.ndarray, k: int, s
 
 def _nearest(ids: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, query_codes: np.ndarray, k: int) -> dict[str, np.ndarray]:
     """The k nearest ids of each query in a block, by distance, then id."""
-    order = np.lexsort((ids, codes))
+    order = np.lexsort((ids, *codes.T))
     ids, codes = ids[order], codes[order]
-    distinct, start, count = np.unique(codes, return_index=True, return_counts=True)
+    distinct, start, count = np.unique(codes, axis=0, return_index=True, return_counts=True)
     q, c, d = search(distinct, count, query_codes, k)
     n = np.minimum(count[c], k)
     row = np.repeat(np.arange(len(q)), n)
@@ -125,8 +136,7 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = TOP, block_codes: int =
         if not (a.num_rows and b.num_rows):
             out = {"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "distance": np.zeros(0, np.int64)}
         else:
-            ids, values = a.column("id").to_numpy(), a.column("code").to_numpy().view(np.uint64)
-            out = _nearest(ids, values, b.column("id").to_numpy(), b.column("code").to_numpy().view(np.uint64), k)
+            out = _nearest(a.column("id").to_numpy(), _words(a.column("code")), b.column("id").to_numpy(), _words(b.column("code")), k)
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     near = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(both, "query_id long, id long, distance long")
