@@ -39,6 +39,12 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan and "In(l_returnflag, [A,R])" in plan and "l_tax" not in plan
 
 
+@pytest.mark.parametrize("name", ["json_scan", "json_unnest"])
+def test_json_queries_read_json_files(name, spark, sf_dir):
+    files = own.queries()[name](spark, sf_dir).inputFiles()
+    assert files and all(f.endswith(".json") for f in files)
+
+
 def test_streams(spark, tmp_path):
     from vellum import streaming
     from vellum.engine import Engine

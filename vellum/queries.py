@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.engine import Engine
+from vellum.sources.catalog import Mappings
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 FLAGSHIP = """
@@ -63,6 +66,8 @@ SQL: dict[str, tuple[str, str | None]] = {
     "params": ("SELECT p_partkey FROM part WHERE p_size > ${min_size:45}", "SELECT p_partkey FROM part WHERE p_size > 45"),
     "flagship": (FLAGSHIP, FLAGSHIP.replace("TOP 20 ", "") + " LIMIT 20"),
 }
+#: Rows of a JSON document, which one task reads.
+DOCUMENT_ROWS = 2000
 OTHER_SQL = {
     "json_scan": "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1",
     "json_unnest": "SELECT o_custkey AS cust, o_orderkey AS okey FROM orders WHERE o_totalprice > 250000",
@@ -81,24 +86,35 @@ def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir).sql(text)
 
 
-def _json_rows(spark: SparkSession, df: DataFrame, name: str) -> Engine:
-    """An engine with a table of df's rows as JSON objects, each looked up by itself."""
-    out = Engine(spark)
-    out.catalog.register(name, df.select(F.parse_json(F.to_json(F.struct("*"))).alias("doc")))
-    return out
+def _shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return (named or (held.get() if held.isDefined() else tempfile.mkdtemp(prefix="vellum-"))).rstrip("/")
+
+
+def _json_files(spark: SparkSession, df: DataFrame, name: str, file: str) -> Engine:
+    """An engine with a table of df's rows, each as an object's field doc, in documents of about DOCUMENT_ROWS rows under a folder."""
+    folder = f"{_shared(spark)}/vellum-json-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64(*df.columns[:1]), F.lit(max(1, -(-df.count() // DOCUMENT_ROWS))))
+    documents = df.select(part.alias("part"), F.struct(F.struct(*df.columns).alias("doc")).alias("row")).groupBy("part").agg(F.collect_list("row").alias("data"))
+    documents.select("data").write.option("maxRecordsPerFile", 1).json(f"{folder}/{file}")  # a file is one document
+    mappings = Mappings()
+    mappings.add(name, f"{file}:$.data")
+    return Engine(spark, mappings, folder)
 
 
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nations as JSON objects: paths, filters and projection over variants."""
-    df = _json_rows(spark, spark.read.parquet(f"{sf_dir}/nation.parquet"), "docs").sql("SELECT doc.n_nationkey, doc.n_name FROM docs WHERE doc.n_regionkey = 1")
+    """The nations as a JSON file: a mapping, paths, filters and projection over variants."""
+    df = _json_files(spark, spark.read.parquet(f"{sf_dir}/nation.parquet"), "docs", "nation.json").sql("SELECT doc.n_nationkey, doc.n_name FROM docs WHERE doc.n_regionkey = 1")
     return df.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), F.col("n_name").cast("string").alias("n_name"))
 
 
 def json_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's orders as one JSON document, unnested again."""
+    """Each customer's orders as one JSON object in files, unnested again."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     nested = orders.groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("orders"))  # a customer's own orders
-    df = _json_rows(spark, nested, "docs").sql("SELECT doc.o_custkey AS cust, o.o_orderkey AS okey FROM docs, UNNEST(doc.orders) AS x(o) WHERE o.o_totalprice > 250000")
+    df = _json_files(spark, nested, "docs", "orders.json").sql("SELECT doc.o_custkey AS cust, o.o_orderkey AS okey FROM docs, UNNEST(doc.orders) AS x(o) WHERE o.o_totalprice > 250000")
     return df.select(F.col("cust").cast("bigint").alias("cust"), F.col("okey").cast("bigint").alias("okey"))
 
 
