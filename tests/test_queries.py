@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from vellum import json_queries
 from vellum import queries as own
 
 
@@ -19,11 +20,13 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", list(own.queries()))
+@pytest.mark.parametrize("name", [*own.queries(), *json_queries.queries()])
 def test_query(name, spark, sf_dir, duck):
-    got = [r.asDict() for r in own.queries()[name](spark, sf_dir).collect()]
-    rel = duck.execute(own.oracle_sql()[name])
+    df = (own.queries() | json_queries.queries())[name](spark, sf_dir)
+    got = [r.asDict() for r in df.collect()]
+    rel = duck.execute((own.oracle_sql() | json_queries.oracle_sql())[name])
     names = [d[0] for d in rel.description]
+    assert sorted(names) == sorted(df.columns)
     assert plain(got) == plain([dict(zip(names, r, strict=True)) for r in rel.fetchall()])
 
 

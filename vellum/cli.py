@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--list-tables", action="store_true")
     p.add_argument("--add-mapping", nargs=2, metavar=("TABLE", "PATH"))
     p.add_argument("--list-queries", action="store_true")
-    p.add_argument("--save-query", nargs=2, metavar=("NAME", "SQL"))
+    p.add_argument("--save-query", nargs="+", metavar="NAME", help="save --query, or a second value, under a name")
     p.add_argument("--delete-query", metavar="NAME")
     p.add_argument("--run-query", metavar="NAME")
     p.add_argument("--param", action="append", default=[], metavar="KEY=VALUE")
@@ -57,7 +57,10 @@ def run(args: argparse.Namespace, spark=None) -> int:
         print(saved.listing())
         return 0
     if args.save_query:
-        saved.save(*args.save_query)
+        name, *text = args.save_query
+        if len(text) > 1 or not (text or args.query):
+            raise ValueError("--save-query takes a name and one query, which --query gives")
+        saved.save(name, text[0] if text else args.query)
         print(f"Query saved: {args.save_query[0]}")
         return 0
     if args.delete_query:

@@ -7,6 +7,7 @@ and only there NULL is turned into false.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -59,11 +60,17 @@ def _isin(value: Value, literals: tuple[ir.Literal, ...]) -> Column | None:
     """A plain IN where equality is plain; scans can take it."""
     if value.string and literals:
         return value.col.isin([x.text for x in literals])
-    if value.integral and literals and all((n := x.number) is not None and n == int(n) and abs(n) < 2**53 for x in literals):
-        return value.col.isin([int(x.number) for x in literals])
+    whole = [_whole(x.number) for x in literals]
+    if value.integral and literals and None not in whole:
+        return value.col.isin(whole)
     return None
 
 
+def _whole(x: float | None) -> int | None:
+    """A number as an integer where it is one that doubles hold exactly."""
+    return int(x) if x is not None and abs(x) < 2**53 and x == int(x) else None
+
+
 def _is_null(value: Value | None, negated: bool) -> Column:
     if value is None:
         return F.lit(negated is False)
@@ -84,7 +91,7 @@ def _equal(value: Value, literal: ir.Literal) -> Column:
     x, truth = literal.number, literal.text.lower() == "true"
     if value.variant:
         v = value.col
-        number = _near(V.number_of(v), x) if x is not None else F.lit(False)
+        number = _near(V.number_of(v), x) if x is not None and math.isfinite(x) else F.lit(False)
         return (
             F.when(V.is_string(v), V.string_of(v) == literal.text)
             .when(V.is_number(v), number)
@@ -96,10 +103,10 @@ def _equal(value: Value, literal: ir.Literal) -> Column:
     if value.boolean:
         return value.col == truth
     if value.numeric:
-        if x is None or x != x:
+        if x is None or not math.isfinite(x):
             return F.lit(False)
-        if value.integral and x == int(x) and abs(x) < 2**53:
-            return value.col == int(x)
+        if value.integral and (n := _whole(x)) is not None:
+            return value.col == n
         return _near(value.col, x)
     if value.time:
         return value.col == F.lit(literal.text).try_cast(value.type)
@@ -115,7 +122,8 @@ def _ordered(value: Value, op: str, literal: ir.Literal) -> Column:
     if x is None or x != x or not (value.variant or value.numeric):
         return F.lit(False)
     number = V.number_of(value.col) if value.variant else value.col
-    bound = int(x) if value.integral and x == int(x) and abs(x) < 2**53 else x
+    whole = _whole(x) if value.integral else None
+    bound = x if whole is None else whole
     return number > bound if op == ">" else number < bound
 
 
@@ -127,8 +135,8 @@ def _compare(value: Value, op: str, literal: ir.Literal) -> Column:
     if op in "<>":
         return _ordered(value, op, literal)
     x = literal.number
-    if value.integral and x is not None and x == int(x) and abs(x) < 2**53:
-        return value.col >= int(x) if op == ">=" else value.col <= int(x)
+    if value.integral and (n := _whole(x)) is not None:
+        return value.col >= n if op == ">=" else value.col <= n
     return _ordered(value, op[0], literal) | _equal(value, literal)
 
 

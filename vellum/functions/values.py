@@ -166,5 +166,7 @@ def sort_keys(value: Value | None, descending: bool) -> list[Column]:
         text, number = value.col, _numeric_part(value.col)
     else:
         text, number = F.when(value.col.isNotNull(), F.lit("")), F.lit(None).cast("double")
-    group = F.when(text.isNull(), 0).when(number.isNotNull(), 2).when(text < "+", 1).otherwise(3)
-    return [direct(group), direct(number), direct(F.when(number.isNull(), text))]
+    #: A text without a number stands against numbers as text: before "-0..." ahead of all, before "0" between those below 0 and the rest.
+    group = F.when(text.isNull(), 0).when(number.isNotNull(), 2).when(text < "-0", 1).when(text < "0", 2).otherwise(3)
+    place = F.coalesce(number, F.when(group == 2, F.lit(-5e-324)))
+    return [direct(group), direct(place), direct(F.when(number.isNull(), text))]

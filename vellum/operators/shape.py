@@ -52,8 +52,10 @@ def _ranks(value: Value | None, descending: bool) -> list[Column]:
     if value is None:
         return []
     if value.numeric or value.boolean or value.time:
-        n = value.col.cast("double") if not value.time else value.col.cast("timestamp").cast("double")
-        return [F.when(value.col.isNull(), 1).otherwise(0), -n] if descending else [n]
+        #: Longs are turned round by their bits, which loses none of them.
+        n = F.unix_micros(value.col.cast("timestamp")) if value.time else value.col.cast("long") if value.boolean or value.integral else value.col
+        back = F.bitwise_not(n) if value.time or value.boolean or value.integral else -n
+        return [F.when(value.col.isNull(), 1).otherwise(0), back] if descending else [n]
     raise UnsupportedError("ORDER BY of a text inside a CTE can't be carried on as numbers")
 
 

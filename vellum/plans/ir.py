@@ -51,8 +51,12 @@ class Literal:
 
     @property
     def number(self) -> float | None:
+        """What the text is as a double; of the names of no finite number, Infinity and NaN in this case only."""
+        text = self.text.strip()
+        if "_" in text or ("n" in text.lower() and text.lstrip("+-") not in ("Infinity", "NaN")):
+            return None
         try:
-            return float(self.text) if self.text.strip() and "_" not in self.text else None
+            return float(text) if text else None
         except ValueError:
             return None
 

@@ -75,15 +75,20 @@ OTHER_SQL = {
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """An engine over the Parquet tables; the events' props are JSON of a known schema."""
+    """An engine over the Parquet tables."""
     out = Engine(spark)
     out.catalog.register_folder(sf_dir, [t for t in TABLES if t != "events"])
-    out.catalog.register("events", spark.read.parquet(f"{sf_dir}/events.parquet"), {"props": "k long"})
     return out
 
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: engine(spark, sf_dir).sql(text)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = engine(spark, sf_dir)
+        if " events" in text:
+            own.catalog.register("events", spark.read.parquet(f"{sf_dir}/events.parquet"), {"props": "k long"})
+        return own.sql(text)
+
+    return run
 
 
 def _shared(spark: SparkSession) -> str:

@@ -8,6 +8,7 @@ can be registered beside them; those and Parquet tables have a type, all others
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,17 +70,19 @@ class Mappings:
 
 
 def split(mapping: str) -> tuple[str | None, str]:
-    """File and JSONPath of a mapping, at its first colon; a mapping that begins with $ has no file."""
-    if mapping.startswith("$") or ":" not in mapping:
+    """File and JSONPath of a mapping, at its first colon (behind a scheme); a mapping that begins with $ has no file."""
+    scheme = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://|(?:file|hdfs):/", mapping)
+    begin = scheme.end() if scheme else 0
+    if mapping.startswith("$") or (at := mapping.find(":", begin)) < 0:
         return None, mapping
-    file, path = mapping.split(":", 1)
-    return file, path
+    return mapping[:at], mapping[at + 1 :]
 
 
 class Catalog:
     def __init__(self, spark: SparkSession, mappings: Mappings | None = None, data_dir: str = "."):
         self.spark, self.mappings, self.data_dir = spark, mappings or Mappings(), data_dir
         self.frames: dict[str, DataFrame] = {}
+        self.parquet: dict[str, str] = {}
 
     def register(self, name: str, df: DataFrame, json_columns: dict[str, str | None] | None = None) -> None:
         """A DataFrame as a table; json_columns: texts to be read as JSON, by a schema or (None) row by row."""
@@ -88,16 +91,17 @@ class Catalog:
         self.frames[name] = df
 
     def register_folder(self, path: str, names: list[str]) -> None:
-        """Parquet tables path/name.parquet."""
-        for n in names:
-            self.register(n, self.spark.read.parquet(f"{path.rstrip('/')}/{n}.parquet"))
+        """Parquet tables path/name.parquet, each opened when a query scans it."""
+        self.parquet |= {n: f"{path.rstrip('/')}/{n}.parquet" for n in names}
 
     def _absolute(self, path: str) -> str:
-        return path if path.startswith("/") or "://" in path else f"{self.data_dir.rstrip('/')}/{path}"
+        return path if path.startswith("/") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path) else f"{self.data_dir.rstrip('/')}/{path}"
 
     def scan(self, name: str, binding: str, serial: int) -> Relation:
         if name in self.frames:
             return from_frame(self.frames[name], binding, serial)
+        if name in self.parquet:
+            return from_frame(self.spark.read.parquet(self.parquet[name]), binding, serial)
         mapping = self.mappings.get(name)
         if mapping is None:
             raise CatalogError(f"No mapping found for table: {name}. Add one with --add-mapping")
