@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import decontamination, line_dedup, lm_scoring, near_dedup, packing, pii, quality, sharding, topk, toxicity
-from vellum.llm.common import fold_words
+from vellum.llm.common import fold_words, settings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None), (2, ""), (3, " \n "), (None, "one two three four five six"), (4, "word " * 30_000), (5, "same text of a few words here"), (5, "same text of a few words here"), (6, "x"), (7, "é ü \t 12 a@b.co")]
@@ -274,13 +274,39 @@ def test_line_dedup_is_all_pairs(spark):
         return " ".join(w)
 
     rows = [(i, "\n".join(edited(rng.choice(base)) if rng.random() < 0.7 else prose(rng, 12) for _ in range(5))) for i in range(120)]
-    for rounds in (0, 5):
-        gone = line_dedup.repeated(table(spark, rows), rounds=rounds).groupBy("ld_row").count().count()
-        assert gone > 10
+    assert line_dedup.repeated(table(spark, rows)).select("doc_id").distinct().count() > 10
     got = {r.doc_id: (r.n_removed, r.kept_md5) for r in line_dedup.report(table(spark, rows)).collect()}
     assert got == lines_by_brute_force(rows)
 
 
+def test_line_dedup_of_many_files_and_partitions(spark, tmp_path):
+    """Ids in no order of the files, documents read by many tasks, partitions as they are dealt."""
+    rng = random.Random(17)
+    base = [prose(rng, rng.randrange(2, 60)) for _ in range(25)]
+
+    def line():
+        w = rng.choice(base).split()
+        for _ in range(rng.randrange(0, len(w) // 5 + 2)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        return " ".join(w)
+
+    ids = list(range(200))
+    rng.shuffle(ids)
+    rows = [(i, "\n".join(line() for _ in range(6))) for i in ids]
+    table(spark, rows).repartition(9).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    with settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1k"}):
+        for docs_again in (docs, docs.repartition(5), docs.select("doc_id", "text").distinct()):
+            got = {r.doc_id: (r.n_removed, r.kept_md5) for r in line_dedup.report(docs_again, least=1).collect()}
+            assert got == lines_by_brute_force(rows, least=1)
+
+
+def test_line_dedup_takes_ids_of_any_type(spark):
+    rows = [("b", "one two three four five\nsix"), ("a", "one two three four five"), (None, "six seven")]
+    out = line_dedup.report(spark.createDataFrame(rows, "doc_id string, text string"), least=1)
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {"a": 0, "b": 1, None: 0}
+
+
 def test_line_dedup_query_removes_short_lines_too(spark, tmp_path):
     from vellum.llm import queries
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +55,39 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Shuffle files of a SQL execution are deleted as it ends (not when the driver happens to collect its garbage).
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time being."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def keyed(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """documents with row_file and row_at, which name a row in every evaluation.
+
+    They are the hash of its file's path and its place in it where documents are projections and filters of
+    Parquet files; anything else is written once, and numbered there.
+    """
+    plan = documents._jdf.queryExecution().optimizedPlan()
+    steady = plan.deterministic()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if steady and plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString():
+        with contextlib.suppress(AnalysisException):
+            return documents.withColumns({"row_file": F.xxhash64("_metadata.file_path"), "row_at": F.col("_metadata.row_index")})
+    return scratch.save(documents.withColumns({"row_file": F.lit(0).cast("long"), "row_at": F.monotonically_increasing_id()}))
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
@@ -61,9 +96,11 @@ class Scratch:
         self.n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
+        """df as a written table; shuffle files of the writing go with it."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with settings(self.spark, {_CLEANUP: "true"}):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._vellum_path = path
         return out
