@@ -1,7 +1,8 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles are its runs of five words (all its words, where it has fewer). A shingle weighs
-tf * idf with idf = ln(1 + N / (N + df)): df comes from counters of a fixed size over all texts, and the
+(1 + ln tf) * idf, so that no phrase repeated hundreds of times speaks for a whole text, with
+idf = ln(1 + N / (N + df)): df comes from counters of a fixed size over all texts, and the
 sum in the denominator keeps a shingle that a third of all texts share at 0.8 of the weight of one that no
 other has, so a large group of copies can't push its own members apart.
 
@@ -12,15 +13,17 @@ are compared; at similarity 0.8 a pair shares a band with probability 0.999.
 
 Equal texts are one from the start. Texts that share a band are a bucket. A pair of them is a candidate if
 it agrees in at least AGREE of all samples (of 7 bits each); at similarity 0.8 that holds with probability
-0.9998. Each member of a bucket is verified against its first one (by id). Those that it doesn't join are
-verified against further members that it has joined, one in each of at most ROUNDS rounds, and what is left
-after that against all members of the bucket: so no link between candidates is lost that would join
-two classes, but pairs within what is joined already are not made. Verification reads both texts whole. Classes are the connected components of the links, found by hooking
+0.997; and their weights and bitmaps, in which each shingle that is not common flips one of 512 bits, must
+allow it. First each member of a bucket is verified against the bucket's first one (by hash), in a bucket of more
+than HOT members against the best few of HEADS of them. The links found make classes; then each member that is
+not in its bucket's largest class is verified against all of the bucket that are in another class: so no link
+between candidates is lost that would join two classes, but pairs within what is joined already are not made.
+Verification reads both texts whole. Classes are the connected components of the links, found by hooking
 and pointer jumping on written tables.
 
 Cases: null texts count as empty, and all empty texts are equal; repeated rows are equal texts; ties go to
-the smallest id, then the text's hash; a null id sorts first; an empty table gives no rows; other columns
-pass through drop_near_duplicates() whatever their names.
+the smallest id (of any type with an order), then the text's hash; a null id sorts first; an empty table gives
+no rows; other columns pass through drop_near_duplicates() whatever their names.
 """
 
 from __future__ import annotations
@@ -34,13 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import Scratch, append_columns, prepare, shielded, texts
+from vellum.llm.common import Scratch, append_columns, keyed, prepare, shielded, texts
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
-AGREE = 15
-ROUNDS = 10
+AGREE = 18
+#: Members of a bucket that is not large yet; heads of a larger one, and how many of them a member is verified against.
+HOT, HEADS, TRIED = 64, 16, 3
 #: Counters of document frequency, by a hash of the shingle.
 COUNTERS = 1 << 18
 #: Shingles that are sampled at once.
@@ -94,9 +98,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counters of a partition, as one row, and its texts."""
     n, total = np.zeros(COUNTERS, np.int64), 0
     for batch in batches:
+        held, size = [], 0
         for text in texts(batch):
-            np.add.at(n, _slot(shingles(text)[0]), 1)
-            total += 1
+            held.append(_slot(shingles(text)[0]))
+            size += len(held[-1])
+            if size >= COUNTERS:
+                n += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                held, size = [], 0
+        if held:
+            n += np.bincount(np.concatenate(held), minlength=COUNTERS)
+        total += batch.num_rows
     for k in range(0, COUNTERS, 1 << 14):
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total], pa.int64()), pa.array([n[k : k + (1 << 14)].astype("<i4").tobytes()], pa.binary())], names=["part", "n", "counts"])
 
@@ -158,14 +169,30 @@ def samples(s: np.ndarray, log_weight: np.ndarray, starts: np.ndarray, count: in
     return out
 
 
-#: Numbers that hold 7 bits of each sample, 7 samples each.
-SKETCH = -(-BANDS * ROWS // 7)
+#: The idf of shingles in less than a sixth of all texts.
+RARE = 0.9 * float(np.log(2))
 
 
-def signatures(batch_texts: list[str], idf: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
-    """The band keys and the sketch of each text; no keys for a text without words."""
+def weight(s: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """(1 + ln tf) * idf of each shingle."""
+    return (1 + np.log(tf)) * idf[_slot(s)]
+
+
+#: Numbers that hold 7 bits of each sample, 7 samples each; and those of a text's bitmap.
+SKETCH, BITMAP = -(-BANDS * ROWS // 7), 8
+
+
+def bitmap(s: np.ndarray, idf: np.ndarray) -> list[int]:
+    """Each shingle of an idf of RARE or more flips a bit: two texts' bitmaps differ in no more bits than these shingles do."""
+    s = s[idf[_slot(s)] >= RARE]
+    return np.packbits(np.bincount((s >> _U(20)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1).view(np.int64).tolist()
+
+
+def signatures(batch_texts: list[str], idf: np.ndarray) -> list[list]:
+    """The band keys, sketch, bitmap and weight of each text; no keys for a text without words."""
     out: list[list[int]] = [[] for _ in batch_texts]
     sketches: list[list[int]] = [[0] * SKETCH for _ in batch_texts]
+    bitmaps, weights = [], []
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def flush() -> None:
@@ -190,27 +217,41 @@ def signatures(batch_texts: list[str], idf: np.ndarray) -> tuple[list[list[int]]
     size = 0
     for d, text in enumerate(batch_texts):
         s, tf = shingles(text)
+        w = weight(s, tf, idf)
+        bitmaps.append(bitmap(s, idf))
+        weights.append(float(w.sum()))
         if len(s):
-            held.append((d, s, np.log(tf.astype(np.float32) * idf[_slot(s)])))
+            held.append((d, s, np.log(w).astype(np.float32)))
             size += len(s)
         if size >= STRETCH:
             flush()
             size = 0
     flush()
-    return out, sketches
+    return [out, sketches, bitmaps, weights]
 
 
 def _agree(a: str, b: str) -> Column:
-    """Whether two sketches agree in at least AGREE samples: a byte of their difference is 0 where they do."""
+    """In how many samples two sketches agree: a byte of their difference is 0 where they do."""
     ones, tops = 0x007F7F7F7F7F7F7F, 0x0080808080808080
-    differ = [f"bit_count((({a}[{k}] ^ {b}[{k}]) + {ones}L) & {tops}L)" for k in range(SKETCH)]
-    return F.expr(" + ".join(differ)) <= BANDS * ROWS - AGREE
+    differ = [f"bit_count((({a}.sketch[{k}] ^ {b}.sketch[{k}]) + {ones}L) & {tops}L)" for k in range(SKETCH)]
+    return BANDS * ROWS - F.expr(" + ".join(differ))
+
+
+def _candidate(a: str, b: str, t: float) -> Column:
+    """Whether two signatures allow the similarity: by samples in all likelihood, by weights and bitmaps for certain.
+
+    Shingles that only one text has weigh no more than (1 - t) / (1 + t) of both texts together.
+    """
+    differ = F.expr(" + ".join(f"bit_count({a}.bitmap[{k}] ^ {b}.bitmap[{k}])" for k in range(BITMAP)))
+    x, y = F.col(f"{a}.weight"), F.col(f"{b}.weight")
+    room = (x + y) * ((1 - t) / (1 + t)) * 1.000001
+    return (_agree(a, b) >= AGREE) & (F.abs(x - y) <= room) & (differ * RARE <= room)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
     """Weighted Jaccard similarity of two texts' shingles with their counts."""
     s, at_a, at_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    wa, wb = a[1] * idf[_slot(a[0])], b[1] * idf[_slot(b[0])]
+    wa, wb = weight(*a, idf), weight(*b, idf)
     both = float(np.minimum(wa[at_a], wb[at_b]).sum())
     every = float(wa.sum() + wb.sum()) - both
     return both / every if every > 0 else 0.0
@@ -257,47 +298,65 @@ def _text():
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def _first_pairs(members: DataFrame, t: float) -> DataFrame:
+    """a and b: what members (band, hash, sig, size) of buckets are to be verified against first, the best of its heads."""
+    head = F.min(F.struct(F.col("hash").alias("a"), F.col("sig").alias("sig_a"))).alias("h")
+    part = F.when(F.col("size") > HOT, F.pmod(F.xxhash64("hash"), F.lit(HEADS))).otherwise(0)
+    heads = members.groupBy("band", part.alias("part")).agg(head).select("band", "h.*")
+    near = members.join(heads, "band").where((F.col("hash") != F.col("a")) & _candidate("sig", "sig_a", t))
+    best = near.groupBy("hash").agg(F.collect_set(F.struct(_agree("sig", "sig_a").alias("agree"), "a")).alias("of"))  # at most BANDS * HEADS
+    return best.select(F.col("hash").alias("b"), F.explode(F.slice(F.sort_array("of", asc=False), 1, TRIED)).alias("o")).select("o.a", "b")
+
+
+def _cross_pairs(members: DataFrame, roots: DataFrame, t: float) -> DataFrame:
+    """a and b: candidates of a bucket that are in different classes so far; the bucket's largest class is not compared with itself."""
+    known = members.join(roots, "hash", "left").select("band", "hash", "sig", F.coalesce("root", "hash").alias("root"))
+    largest = known.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("m")).select("band", F.col("m.root").alias("main"))
+    alone = known.join(largest, "band").where("root <> main").select("band", F.col("hash").alias("x"), F.col("sig").alias("s"), F.col("root").alias("root_x"))
+    within = known.select("band", F.col("hash").alias("y"), F.col("sig").alias("o"), F.col("root").alias("root_y"))
+    return alone.join(within, "band").where((F.col("root_x") != F.col("root_y")) & _candidate("s", "o", t)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """hash, root and n_texts (different texts in the class) of each different text that has a near-duplicate."""
+    """hash and root of each different text that has a near-duplicate."""
     spark = prepare(documents.sparkSession)
     scratch = Scratch(spark, "neardup")
-    hashed = documents.select(F.sha2(_text().cast("binary"), 256).alias("hash"), _text().alias("text"), F.col("doc_id").cast("long").alias("id"))
+    hashed = documents.select(F.sha2(_text().cast("binary"), 256).alias("hash"), _text().alias("text"))
     held = spark.sparkContext.broadcast(idf_table(documents))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            yield list(signatures(texts(batch), held.value))
+            yield signatures(texts(batch), held.value)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("hash")).unionAll(pairs.select("b")).distinct()
+        docs = scratch.save(hashed.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")))
+        out = scratch.save(_verified(pairs, docs, held, threshold))
+        scratch.drop(docs)
+        return out
 
     longs = T.ArrayType(T.LongType())
-    marked = append_columns(hashed, [("bands", longs), ("sketch", longs)], work).drop("text")
-    signed = scratch.save(marked.groupBy("hash").agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    entries = signed.select("hash", "id", "sketch", F.explode("bands").alias("band"))
-    heads = entries.groupBy("band").agg(F.min(F.struct("id", "hash", "sketch")).alias("h"), F.count("*").alias("size")).where("size > 1").select("band", F.col("h.hash").alias("a"), F.col("h.sketch").alias("sketch_a"))
-    #: Members of buckets with the one that they are to be verified against.
-    tried = scratch.save(entries.join(heads, "band").select("band", "hash", "sketch", "a", _agree("sketch", "sketch_a").alias("candidate"), (F.col("hash") == F.col("a")).alias("joined")))
-    near = tried.where("candidate and not joined").select(F.col("a").alias("hash")).unionAll(tried.where("not joined").select("hash")).distinct()
-    docs = hashed.join(near, "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text"))
-    docs = scratch.save(docs)
-    links = []
-    for k in range(ROUNDS):
-        pairs = tried.where("candidate and not joined").select("a", F.col("hash").alias("b")).distinct()
-        found = scratch.save(_verified(pairs, docs, held, threshold))
-        if k and not found.limit(1).count():
-            break
-        links.append(found)
-        known = found.select("a", F.col("b").alias("hash"), F.lit(True).alias("hit"))
-        members = scratch.save(tried.join(known, ["a", "hash"], "left").select("band", "hash", "sketch", (F.col("joined") | F.coalesce("hit", F.lit(False))).alias("joined")))
-        #: The next to be verified against: any of those joined, another one in each round.
-        order = F.xxhash64("hash", F.lit(k))
-        next_heads = members.where("joined").groupBy("band").agg(F.min(F.struct(order.alias("o"), "hash", "sketch")).alias("h")).select("band", F.col("h.hash").alias("a"), F.col("h.sketch").alias("sketch_a"))
-        tried = scratch.save(members.join(next_heads, "band").select("band", "hash", "sketch", "a", (_agree("sketch", "sketch_a") & ~F.col("joined")).alias("candidate"), "joined"))
-    alone = tried.where("not joined").select("band", F.col("hash").alias("x"), F.col("sketch").alias("s"))
-    within = tried.select("band", F.col("hash").alias("y"), F.col("sketch").alias("t"))
-    more = alone.join(within, "band").where((F.col("x") != F.col("y")) & _agree("s", "t")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = scratch.save(_verified(more, docs, held, threshold))
-    for found in links:
-        more = more.unionAll(found)
-    return components(more, scratch)
+    marked = append_columns(hashed, [("bands", longs), ("sketch", longs), ("bitmap", longs), ("weight", T.DoubleType())], work)
+    marked = marked.select("hash", "bands", F.struct("sketch", "bitmap", "weight").alias("sig"))
+    signed = scratch.save(marked.groupBy("hash").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    shared = signed.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    members = scratch.save(signed.select("hash", "sig", F.explode("bands").alias("band")).join(shared, "band"))
+    scratch.drop(signed)
+    pairs = scratch.save(_first_pairs(members, threshold))
+    links = verified(pairs)
+    roots = components(links, scratch)
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = scratch.save(_cross_pairs(members, roots, threshold).join(tried, ["a", "b"], "left_anti"))
+    scratch.drop(members, pairs, links)
+    found = verified(more) if more.limit(1).count() else more
+    if not found.limit(1).count():
+        return roots
+    #: Further links join classes: the same again over their roots.
+    ends = [found.join(roots.select(F.col("hash").alias(c), F.col("root").alias(f"of_{c}")), c, "left").select("a", "b", F.coalesce(f"of_{c}", c).alias(f"root_{c}")) for c in ("a", "b")]
+    between = scratch.save(ends[0].join(ends[1], ["a", "b"]).where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    upper = components(between, scratch).select(F.col("hash").alias("root"), F.col("root").alias("above"))
+    every = roots.unionAll(found.select(F.explode(F.array("a", "b")).alias("hash")).distinct().join(roots, "hash", "left_anti").select("hash", F.col("hash").alias("root")))
+    return every.join(upper, "root", "left").select("hash", F.coalesce("above", "root").alias("root"))
 
 
 def with_class(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -311,10 +370,10 @@ def first_of_class(documents: DataFrame, threshold: float = THRESHOLD) -> DataFr
     """dup_hash, first_id and n_docs of the class of each different text."""
     light = documents.select("doc_id", F.sha2(_text().cast("binary"), 256).alias("dup_hash"))
     found = classes(documents, threshold).select(F.col("hash").alias("dup_hash"), F.col("root"))
-    by_text = light.groupBy("dup_hash").agg(F.min(F.col("doc_id")).alias("id"), F.count("*").alias("n"))
+    by_text = light.groupBy("dup_hash").agg(F.min(F.struct("doc_id")).alias("id"), F.count("*").alias("n"))
     named = by_text.join(found, "dup_hash", "left").withColumn("root", F.coalesce("root", "dup_hash"))
     best = named.groupBy("root").agg(F.min(F.struct("id", "dup_hash")).alias("first"), F.sum("n").alias("n_docs"))
-    return named.join(best, "root").select("dup_hash", F.col("first.id").alias("first_id"), F.col("first.dup_hash").alias("first_hash"), "n_docs")
+    return named.join(best, "root").select("dup_hash", F.col("first.id.doc_id").alias("first_id"), F.col("first.dup_hash").alias("first_hash"), "n_docs")
 
 
 def drop_near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -322,10 +381,12 @@ def drop_near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) ->
 
     def change(docs: DataFrame) -> DataFrame:
         kept = first_of_class(docs, threshold).where("dup_hash = first_hash").select("dup_hash", "first_id")
-        rows = docs.withColumn("dup_hash", F.sha2(_text().cast("binary"), 256)).withColumn("dup_row", F.monotonically_increasing_id())
-        here = rows.join(kept, (rows["dup_hash"] == kept["dup_hash"]) & rows["doc_id"].eqNullSafe(kept["first_id"]), "left_semi")
-        light = Scratch(docs.sparkSession, "neardup").save(here.groupBy("dup_hash").agg(F.min("dup_row").alias("dup_row")))
-        return rows.join(light, ["dup_hash", "dup_row"], "left_semi")
+        scratch = Scratch(prepare(docs.sparkSession), "neardup")
+        rows = keyed(docs, scratch).withColumn("dup_hash", F.sha2(_text().cast("binary"), 256))
+        light = rows.select("dup_hash", "doc_id", "row_file", "row_at")
+        here = light.join(kept, (light["dup_hash"] == kept["dup_hash"]) & light["doc_id"].eqNullSafe(kept["first_id"]), "left_semi")
+        first = scratch.save(here.groupBy("dup_hash").agg(F.min(F.struct("row_file", "row_at")).alias("first")).select("first.*"))
+        return rows.join(first, ["row_file", "row_at"], "left_semi")
 
     return shielded(documents, change)
 
