@@ -353,6 +353,60 @@ def test_near_dedup_is_all_pairs(spark):
         assert not others or max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in others) >= 0.75
 
 
+def test_near_dedup_recall_from_the_threshold_on(spark):
+    """Of all pairs of texts whose weighted similarity is 0.8 to 0.84 nearly all are found, and none below 0.8 links two texts."""
+    rng = random.Random(18)
+    rows = []
+    for k in range(150):
+        w = prose(rng, 120).split()
+        rows.append((2 * k, " ".join(w)))
+        for _ in range(3):
+            w[rng.randrange(len(w))] = "new" + str(rng.randrange(10**6))
+        rows.append((2 * k + 1, " ".join(w)))
+    docs = table(spark, rows)
+    idf = near_dedup.idf_table(docs)
+    near = [k for k in range(150) if 0.8 <= near_dedup.similarity(near_dedup.shingles(rows[2 * k][1]), near_dedup.shingles(rows[2 * k + 1][1]), idf)]
+    assert 30 < len(near) < 145
+    found = {r.doc_id: r.class_id for r in near_dedup.report(docs).collect()}
+    got = [k for k in range(150) if found[2 * k] == found[2 * k + 1]]
+    assert set(got) <= set(near) and len(got) >= 0.98 * len(near)
+
+
+def test_near_dedup_of_a_large_bucket_is_all_pairs(spark):
+    """A family of more than HOT members around the threshold: the classes are those of all pairs."""
+    rng = random.Random(19)
+    base = prose(rng, 100).split()
+    rows = []
+    for i in range(140):
+        w = list(base)
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            w[rng.randrange(len(w))] = "new" + str(rng.randrange(10**6))
+        rows.append((i, " ".join(w)))
+    docs = table(spark, rows)
+    idf = near_dedup.idf_table(docs)
+    sets = [near_dedup.shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if near_dedup.similarity(sets[i], sets[j], idf) >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    want = {i: find(i) for i in range(len(rows))}
+    assert 1 < len(set(want.values())) < 140
+    assert {r.doc_id: r.class_id for r in near_dedup.report(docs).collect()} == want
+
+
+def test_near_dedup_takes_ids_of_any_type(spark):
+    text = " ".join(WORDS)
+    out = near_dedup.report(spark.createDataFrame([("b", text), ("a", text), (None, "x")], "doc_id string, text string"))
+    assert {r.doc_id: (r.class_id, r.class_size) for r in out.collect()} == {"a": ("a", 2), "b": ("a", 2), None: (None, 1)}
+
+
 def test_icws_agrees_as_often_as_the_weighted_jaccard_says():
     rng = np.random.default_rng(8)
     s = rng.integers(0, 2**63, 400).astype(np.uint64)
