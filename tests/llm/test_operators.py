@@ -509,6 +509,45 @@ def test_toxicity_on_held_out_texts(spark):
     assert len(held) > 100 and np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.97
 
 
+def test_toxicity_models_are_brute_force_and_add_up_to_one():
+    rng = random.Random(20)
+    words = sorted({rng.choice(("abcde", "abcdx", "foo", "barbaz", "quux")) + rng.choice(("", "q", "rs", "tuv")) for _ in range(40)} - {""})
+    words = [w.encode() for w in words]
+    counts = [np.array([rng.choice((0, 0, 1, 1, 2, 3, 7)) for _ in words]) for _ in (0, 1)]
+    counts[1][(counts[0] == 0) & (counts[1] == 0)] = 1
+    model = toxicity.models(words, counts)
+    nodes = {k for w in words for k in toxicity.path(w)[:-1]}
+    for row in model.words:  # known words, unknown words of every beginning, and of none
+        assert sum(math.exp(row[model.vocabulary.known[x]]) for x in {*words, *nodes, b""}) == pytest.approx(1)
+
+    def level(key):
+        return next(len(toxicity.path(w)[: toxicity.path(w).index(key) + 1]) for w in words if key in toxicity.path(w))
+
+    keys = {k for w in words for k in toxicity.path(w)}
+    below = collections.defaultdict(set)
+    for w in words:
+        for a, b in itertools.pairwise([b"", *toxicity.path(w)]):
+            below[a].add(b)
+    n = [collections.Counter() for _ in range(3)]
+    for w, c0, c1 in zip(words, *counts, strict=True):
+        for k in [b"", *toxicity.path(w)]:
+            for c, x in enumerate((c0, c1, c0 + c1)):
+                n[c][k] += int(x)
+    d = [{deep: toxicity.discount(np.array([n[c][k] for k in keys if level(k) == deep])) for deep in range(1, 5)} for c in range(3)]
+
+    def free(c, a):
+        return sum(d[c][level(b)] for b in below[a] if n[c][b]) / n[c][a] if n[c][a] else 1.0
+
+    def share(c, a, b):
+        both = (max(n[2][b] - d[2][level(b)], 0) if b else 0) / max(n[2][a], 1) + free(2, a) / (sum(n[2][x] > 0 for x in below[a]) + 1)
+        return (max(n[c][b] - d[c][level(b)], 0) if b else 0) / max(n[c][a], 1) + free(c, a) * both
+
+    for word, chain in [(w, toxicity.path(w)) for w in words] + [(b"abcdzzz", [b"\0abcd", None]), (b"zz", [None])]:
+        for c in (0, 1):
+            p = math.prod(share(c, a, b) for a, b in itertools.pairwise([b"", *chain]))
+            assert model.words[1 - c][model.vocabulary[word]] == pytest.approx(math.log(p)), word
+
+
 # -- 10
 
 

@@ -105,6 +105,10 @@ class Scratch:
         out._vellum_path = path
         return out
 
+    def clear(self) -> None:
+        """Deletes all of its tables."""
+        delete(self.spark, self.root)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing will read again."""
         for t in tables:

@@ -1,21 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Expressions of labelled texts are counted for each class. An expression is a pair of words, which
-backs off to the second word, which backs off to its first 6, 5 and 4 bytes. As in Kneser-Ney
-smoothing, counts are discounted by D = n1 / (n1 + 2 n2), the lower levels count in how many different
-words a beginning continues rather than how often it is read, and what is taken off, with a constant
-BACKOFF, goes to the level below; the last level is shared by both classes, so an expression that is
-rare in both says little for either. Everything is kept as the log ratio of the two classes.
-
-The score of a text is a logistic curve over its length-normalised log likelihood ratios (of all
-words, and of those that speak clearly for one class), fitted on labelled texts that the counts have
-not seen.
+There is a model of each class, toxic and ordinary, over the words of labelled texts. As in Kneser-Ney smoothing a
+word counts by how many different words it follows. A word is reached by its beginnings of 4, 5 and 6 bytes:
+P(word) = P(first beginning) * P(next | first) * ... * P(word | last), and each of these is a discounted share of the
+class's counts and, by what the discount sets free, the share in both classes together. So a rare expression is
+smoothed through counts that the classes share, and one that was never read speaks by its beginning. In the
+shared counts, what is set free goes evenly to all that is known to follow and to one unknown event, so the
+probabilities add up to 1. Discounts are n1 / (n1 + 2 n2) for each class and length.
+
+A text is compared by the difference of the two log likelihoods, normalised by length: over the whole text, and over
+those of its stretches of 1, 4 and 16 words where it is largest, as an insult in a long text is. The score is a
+logistic curve over these, fitted on labelled texts that the counts have not seen.
 
 Counts come from at most SAMPLE labelled texts of each class, those with the smallest hashes of
-their ids, one of each set of near copies, and the curve from as many others; this bounds the model,
+their ids, and the curve from as many others; all counts of this sample are kept, so the sample bounds the model,
 which is broadcast. All texts are scored whole.
 
-Cases: null and empty texts have a ratio of 0 and get the curve's value there; ids that are labelled
+Cases: null and empty texts have a difference of 0 and get the curve's value there; ids that are labelled
 twice are toxic if any label says so; null labels are passed over; without labelled texts of both
 classes every score is the toxic share of the labels (0 without any); repeated rows are each scored;
 other columns pass through whatever their names.
@@ -36,15 +37,16 @@ from pyspark.sql import types as T
 from vellum.llm.common import Scratch, append_columns, fold_words, id_crc, prepare, raw_texts, shielded
 
 SAMPLE = 4000
-#: Words and pairs counted less often than this are left to the backoff.
-LEAST_WORD, LEAST_PAIR, LEAST_STEM = 5, 5, 3
-STEMS = (4, 5, 6)
-BACKOFF = 10.0
-#: A log ratio above this speaks clearly for the toxic class.
-CLEAR = 2.0
+BEGINNINGS = (4, 5, 6)
+STRETCHES = (1, 4, 16)
 START = b""
 
 
+def path(word: bytes) -> list[bytes]:
+    """Keys of a word's beginnings, which are no words, and the word itself."""
+    return [*(b"\0" + word[:k] for k in BEGINNINGS if len(word) >= k), word]
+
+
 class Vocabulary(dict):
     """Numbers of words; an unknown word has that of its longest known beginning, or 0."""
 
@@ -56,60 +58,90 @@ class Vocabulary(dict):
         if len(self) > len(self.known) + 500_000:
             self.clear()
             self.update(self.known)
-        at = 0
-        for k in STEMS[::-1]:
-            if len(word) >= k and (at := self.known.get(b"\0" + word[:k], 0)):
-                break
-        self[word] = at
+        at = self[word] = next((self.known[k] for k in reversed(path(word)[:-1]) if k in self.known), 0)
         return at
 
     def __reduce__(self):
         return Vocabulary, (self.known,)
 
 
+def discount(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2): what is taken off each count; a half where none is 1."""
+    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+    return one / (one + 2 * two) if one else 0.5
+
+
 @dataclass
 class Model:
-    vocabulary: Vocabulary  # words and, behind a zero byte, beginnings of words; 1 and up
-    word: np.ndarray  # log ratio of each
-    pairs: np.ndarray  # sorted keys of kept pairs
-    pair: np.ndarray  # their log ratios
+    vocabulary: Vocabulary  # 0 is the root: all that is unknown
+    words: np.ndarray  # log P of each known word, and of an unknown word of each beginning; a row for each class
     curve: np.ndarray
     prior: float
 
-    def ratios(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text the log likelihood ratio, the part of it that is clear, and the number of words."""
-        n, parts = np.zeros(len(docs), np.int64), []
-        get, size = self.vocabulary.__getitem__, len(self.word)
-        start = get(START)
+    def differences(self, docs: list[bytes]) -> np.ndarray:
+        """Of each text the difference of the classes' log likelihoods a word: in all, and in its stretches where it is largest."""
+        out, get = np.zeros((len(docs), 1 + len(STRETCHES))), self.vocabulary.__getitem__
         for d, text in enumerate(docs):
             w = fold_words(text)
-            n[d] = len(w)
-            ids = np.empty(len(w) + 1, np.int64)
-            ids[0] = start
-            ids[1:] = np.fromiter(map(get, w), dtype=np.int64, count=len(w))
-            parts.append(ids)
-        if not parts:
-            return np.zeros(0), np.zeros(0), n
-        ids = np.concatenate(parts)
-        first = np.concatenate(([0], np.cumsum(n + 1)))[:-1]
-        value = self.word[ids]
-        if len(self.pairs):
-            key = np.concatenate(([0], ids[:-1])) * size + ids
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            same = np.flatnonzero(self.pairs[at] == key)
-            value[same] = self.pair[at[same]]
-        value[first] = 0.0
-        return np.add.reduceat(value, first), np.add.reduceat(np.where(value > CLEAR, value, 0.0), first), n
+            if w:
+                toxic, ordinary = self.words[:, np.fromiter(map(get, w), dtype=np.int64, count=len(w))]
+                sums = np.concatenate(([0.0], np.cumsum(toxic - ordinary)))
+                out[d] = [sums[-1] / len(w), *((sums[k:] - sums[:-k]).max() / k for k in (min(len(w), n) for n in STRETCHES))]
+        return out
 
     def scores(self, docs: list[bytes]) -> np.ndarray:
         if not self.curve.any():
             return np.full(len(docs), self.prior)
-        return 1 / (1 + np.exp(-np.clip(_features(*self.ratios(docs)) @ self.curve, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(_features(self.differences(docs)) @ self.curve, -30, 30)))
 
 
-def _features(ratio: np.ndarray, clear: np.ndarray, n: np.ndarray) -> np.ndarray:
-    length = np.maximum(n, 1)
-    return np.column_stack((10 * ratio / length, ratio / np.sqrt(length), clear / np.sqrt(length), np.log1p(clear), np.ones(len(ratio))))
+def _features(differences: np.ndarray) -> np.ndarray:
+    return np.column_stack((10 * differences[:, :1], differences[:, 1:], np.ones(len(differences))))
+
+
+def models(words: list[bytes], counts: list[np.ndarray]) -> Model:
+    """Both classes' models from the words' counts in the ordinary and the toxic class, without a curve."""
+    number: dict[bytes, int] = {START: 0}
+    parent, depth, leaf = [0], [0], np.empty(len(words), np.int64)
+    for k, word in enumerate(words):
+        at = 0
+        for level, key in enumerate(path(word), 1):
+            if (new := number.get(key)) is None:
+                new = number[key] = len(parent)
+                parent.append(at)
+                depth.append(level)
+            at = new
+        leaf[k] = at
+    above, level, size = np.array(parent), np.array(depth), len(parent)
+    n = np.zeros((3, size))
+    n[0, leaf], n[1, leaf] = counts
+    for deep in range(level.max(), 0, -1):
+        at = np.flatnonzero(level == deep)
+        for c in (0, 1):
+            n[c] += np.bincount(above[at], weights=n[c, at], minlength=size)
+    n[2] = n[0] + n[1]
+    kinds = np.array([np.bincount(above[1:], weights=n[c, 1:] > 0, minlength=size) for c in range(3)])
+    #: Of each node given its parent, and of something unknown below it: first in both classes, then in each.
+    d = np.zeros((3, size))
+    for deep in range(1, level.max() + 1):
+        at = level == deep
+        d[:, at] = np.array([discount(n[c, at]) for c in range(3)])[:, None]
+    free = np.array([np.bincount(above[1:], weights=d[c, 1:] * (n[c, 1:] > 0), minlength=size) for c in range(3)]) / np.maximum(n, 1)
+    own = np.maximum(n - d, 0) / np.maximum(n[:, above], 1)
+    even = free[2] / (kinds[2] + 1)
+    shared, unknown = own[2] + even[above], np.where(n[2] > 0, even, 1.0)
+    log = np.zeros((2, size))
+    left = np.where(n > 0, free, 1.0)
+    with np.errstate(divide="ignore"):  # of the root, where there are no words
+        step = np.log(own[:2] + left[:2][:, above] * shared)
+    for deep in range(1, level.max() + 1):
+        at = np.flatnonzero(level == deep)
+        log[:, at] = log[:, above[at]] + step[:, at]
+    inner = kinds[2] > 0
+    inner[0] = True
+    with np.errstate(divide="ignore"):
+        log = np.where(inner, log + np.log(left[:2] * unknown), log)
+    return Model(Vocabulary(number), log[::-1], np.zeros(2 + len(STRETCHES)), 0.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -127,22 +159,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def _sample(documents: DataFrame, marks: DataFrame, size: int) -> DataFrame:
-    """text and toxic of at most `size` labelled documents of each class, by the smallest hashes of their ids."""
+    """text and toxic of the documents of at most `size` labelled ids of each class, by the smallest hashes of their ids."""
     chosen = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for c in (0, 1)]
     ids = chosen[0].unionAll(chosen[1])
     #: At most 2 * size ids.
-    found = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    found = found.withColumn("shingles", _shingles())
-    for seed in range(2):
-        least = F.array_min(F.transform("shingles", lambda x, seed=seed: F.xxhash64(x, F.lit(seed))))
-        found = found.withColumn("least", F.coalesce(least, F.xxhash64("text"))).dropDuplicates(["toxic", "least"])
-    return found.select("doc_id", "text", "toxic")
-
-
-def _shingles():
-    """Hashes of each three words in a row, for telling near copies."""
-    w = F.transform(F.split(F.lower("text"), r"\s+"), lambda x: F.xxhash64(x))
-    return F.zip_with(F.zip_with(w, F.slice(w, 2, 1_000_000_000), lambda a, b: F.xxhash64(a, b)), F.slice(w, 3, 1_000_000_000), lambda a, b: F.xxhash64(a, b))
+    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,22 +179,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([p[0][0] for p in part], pa.binary()), pa.array([p[0][1] for p in part], pa.binary()), pa.array([c] * len(part), pa.int32()), pa.array([p[1] for p in part], pa.int64())], names=["v", "w", "toxic", "n"])
 
 
-def _discount(counts: DataFrame, column: str) -> float:
-    one, two = counts.select(F.count_if(F.col(column) == 1), F.count_if(F.col(column) == 2)).first()
-    return one / (one + 2 * two) if one else 0.5
-
-
-def _level(table, counts: list, discounts: list[float], names: list, below: list, ratio: dict, out: dict | None = None) -> None:
-    """Log ratios of a level's expressions from their counts and the level below; into out, or ratio itself."""
-    if not len(table):
-        return
-    less = 1 / (1 + np.exp(-np.array([ratio.get(b, 0.0) for b in below])))
-    a0, a1 = (np.maximum(np.asarray(c, float) - d, 0) for c, d in zip(counts, discounts, strict=True))
-    freed = BACKOFF + sum(d * (np.asarray(c, float) > 0) for c, d in zip(counts, discounts, strict=True))
-    share = (a1 + freed * less) / (a0 + a1 + freed)
-    (ratio if out is None else out).update(zip(names, np.log(share / (1 - share)).tolist(), strict=True))
-
-
 def fit(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     """The model from labelled documents outside the held-out fifth (crc32 of the id, modulo 5, is 0)."""
     spark = prepare(documents.sparkSession)
@@ -181,65 +186,40 @@ def fit(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     marks = marks.withColumn("fold", id_crc() % 5).where("fold <> 0")
     n = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     prior = n.get(1, 0) / max(1, sum(n.values()))
-    nothing = Model(Vocabulary({}), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), np.zeros(5), prior)
-    if not n.get(0) or not n.get(1):
-        return nothing
-    pairs = _sample(documents, marks.where("fold <> 4"), size).mapInArrow(_count, "v binary, w binary, toxic int, n long")
-    sides = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
-    pairs = Scratch(spark, "toxicity").save(pairs.groupBy("v", "w").agg(*sides))
-    by_word = pairs.groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    totals = by_word.select(F.sum("n0"), F.sum("n1"), F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
-    if not totals[0] or not totals[1]:
-        return nothing
-    #: The larger class is scaled down to the smaller: no count speaks louder than it was read.
-    scale = [min(totals[:2]) / t for t in totals[:2]]
-    types = [min(totals[2:]) / t for t in totals[2:]]
-    ratio: dict[bytes, float] = {}
-    for k in STEMS:
-        stems = by_word.where(F.length("w") >= k).groupBy(F.substring("w", 1, k).alias("w")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"))
-        table = stems.where(F.col("n0") + F.col("n1") >= LEAST_STEM).toPandas()
-        _level(table, [table.n0 * types[0], table.n1 * types[1]], [_discount(stems, c) for c in ("n0", "n1")], [b"\0" + bytes(w) for w in table.w], [b"\0" + bytes(w)[: k - 1] for w in table.w], ratio)
-    kept = by_word.where(F.col("n0") + F.col("n1") >= LEAST_WORD)
-    table = kept.toPandas()
-    names = [bytes(w) for w in table.w]
-    below = [next((s for k in STEMS[::-1] if len(w) >= k and (s := b"\0" + w[:k]) in ratio), b"") for w in names]
-    _level(table, [table.n0 * scale[0], table.n1 * scale[1]], [_discount(by_word, c) for c in ("n0", "n1")], names, below, ratio)
-    vocabulary = {w: k + 1 for k, w in enumerate([START, *ratio])}
-    word = np.array([0.0, 0.0, *ratio.values()])
-    words, first = kept.select("w"), spark.createDataFrame([(bytearray(START),)], "v binary")
-    left = pairs.groupBy("v").agg(F.sum("n0").alias("l0"), F.sum("n1").alias("l1"))
-    often = pairs.where(F.col("n0") + F.col("n1") >= LEAST_PAIR).join(words, "w", "left_semi").join(words.select(F.col("w").alias("v")).unionAll(first), "v", "left_semi").join(left, "v").toPandas()
-    names = [(bytes(v), bytes(w)) for v, w in zip(often.v, often.w, strict=True)]
-    least = often[["l0", "l1"]].min(axis=1)
-    both: dict = {}
-    _level(often, [often.n0 * least / often.l0.clip(lower=1), often.n1 * least / often.l1.clip(lower=1)], [_discount(pairs, c) for c in ("n0", "n1")], names, [w for _, w in names], ratio, both)
-    key = np.array([vocabulary[v] * len(word) + vocabulary[w] for v, w in names], dtype=np.int64)
-    order = np.argsort(key)
-    model = Model(Vocabulary(vocabulary), word, key[order], np.array(list(both.values()), dtype=float)[order], np.zeros(5), prior)
+    scratch = Scratch(spark, "toxicity")
+    sides = [F.count_if(F.col("toxic") == c).alias(f"n{c}") for c in (0, 1)]
+    pairs = _sample(documents, marks.where("fold <> 4"), size).mapInArrow(_count, "v binary, w binary, toxic int, n long").select("v", "w", "toxic").distinct()
+    table = scratch.save(pairs.groupBy("w").agg(*sides)).orderBy("w").toArrow()  # the words of 2 * size texts
+    model = models(table.column("w").to_pylist(), [table.column(c).to_numpy() for c in ("n0", "n1")])
+    model.prior = prior
+    scratch.clear()
+    if not all(table.column(c).to_numpy().any() for c in ("n0", "n1")):
+        return model
+    del table
     held = spark.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            yield list(held.value.ratios(raw_texts(batch)))
+            yield [held.value.differences(raw_texts(batch)).tolist()]
 
-    rest = append_columns(_sample(documents, marks.where("fold = 4"), size), [("ratio", T.DoubleType()), ("clear", T.DoubleType()), ("words", T.LongType())], measured).select("toxic", "ratio", "clear", "words").toPandas()
-    if rest.toxic.nunique() == 2:
-        y = rest.toxic.to_numpy(float)
+    rest = append_columns(_sample(documents, marks.where("fold = 4"), size), [("differences", T.ArrayType(T.DoubleType()))], measured).orderBy("doc_id").select("toxic", "differences").collect()
+    y = np.array([r.toxic for r in rest], dtype=float)
+    if 0 < y.sum() < len(y):
         share = y.mean()
         weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
-        model.curve = _logistic(_features(*(rest[c].to_numpy() for c in ("ratio", "clear", "words"))), y, weight)
+        model.curve = _logistic(_features(np.array([r.differences for r in rest])), y, weight)
     return model
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with tox_score, 0 to 1."""
+    """documents with tox_score, 0 to 1, in the place of a column of that name."""
     held = prepare(documents.sparkSession).sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
             yield [pa.array(held.value.scores(raw_texts(batch)))]
 
-    return append_columns(documents, [("tox_score", T.DoubleType())], work)
+    return append_columns(documents, [("tox_score", T.DoubleType())], work, replace=True)
 
 
 def drop_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
