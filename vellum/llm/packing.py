@@ -1,22 +1,21 @@
 """Lexical retrieval packing: windows filled with the BM25 neighbours of a seed document.
 
 Documents become token ids, each ended by END. Whole windows of a long document are sequences by
-themselves; what is left of every document, less than a window, is a piece to be packed. An inverted
-index over token ids with BM25 weights (document frequencies and lengths over all pieces) is held in shards of INDEX_PIECES pieces
-for their size alone: a seed's query, all of its different ids, goes to every shard, and its hits are merged.
-
-Windows are filled in rounds. So many pieces that their windows hold all ids, chosen by a hash, are
-seeds. In a round, every open window asks for the HITS best unused pieces that fit; a piece goes to the
-window it scores best for, and a window takes what it got by rank while it fits. Where no unused piece
-fits, the best one is cut. What is left over begins anew, and as soon as windows and pieces are no more than
-`shard_pieces`, one task fills window by window. So all windows but the last are full. Each round scores all
-open windows against all unused pieces: the time grows with the square of the input.
-
-Texts are tokenized once into a written table, and each round's state is written.
-
-Cases: null and empty texts are END alone; texts of any length are tokenized whole; repeated rows are
-packed each; ties of rank go by a hash of window and piece, in the last task to the earlier piece; pieces without common
-terms score 0 and are packed too; an empty table gives no rows.
+themselves and have no neighbours; what is left of every document, less than a window, is a piece to be packed.
+
+The inverted index, with BM25 weights (document frequencies and lengths over all pieces), is sharded by what it
+retrieves by: pieces are ordered by their rarest ids that other pieces have too, rarest first, and consecutive
+SHARD_PIECES of them are a shard. So those that share what weighs most in BM25, near copies first of all, stand in one
+shard, and the time grows in proportion to the input. A seed is a shard's first unused piece; all of its
+different ids are the query, and the unused pieces of its shard fill its window by rank while they fit. Where none
+fits any more, the best one is cut. So all windows of a shard but its last are full.
+
+Texts are tokenized once into a written table.
+
+Cases: null and empty texts are END alone; texts of any length are tokenized whole; the vocabulary's special token in
+a text is its one id, as the tokenizers library has it; repeated rows are packed each; pieces of equal keys stand in
+the order of their rows, so a group of copies fills many shards; ties of rank go to the earlier piece; pieces
+without common terms score 0 and are packed too; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,22 +29,21 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vellum.llm.common import Scratch, prepare, texts
+from vellum.llm.common import Scratch, append_columns, prepare, texts
 
 WINDOW = 1024
 END = 0
 RANKS = "byte_bpe_50k.tiktoken"
-#: What one task packs window by window.
-SHARD_PIECES = 1500
-#: Pieces of an index shard, and windows that query it in one task.
-INDEX_PIECES = 6000
-#: Hits that a window asks for in a round, and queries scored at once.
-HITS, QUERIES = 16, 250
-#: Parts of the pieces by hash, of which the first ones are seeds.
-PARTS = 4096
+#: The vocabulary's added token, and its id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+#: Pieces of a shard; shards that one task fills, one after another.
+SHARD_PIECES, TASK_SHARDS = 1000, 12
+#: Rare ids of a piece that place it, and seeds scored at once.
+KEY_IDS, QUERIES = 6, 64
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
@@ -67,6 +65,10 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 16-bit ids."""
+        if SPECIAL in text:
+            return np.array([SPECIAL_ID], dtype="<u2").tobytes().join(map(self.ids, text.split(SPECIAL)))
+        if not text:
+            return b""
         words = text.split()
         gaps = len(words) - 1
         if gaps < 0 or sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps:
@@ -188,37 +190,27 @@ class Shard:
         rare = np.bincount(np.repeat(query[~dense], many) * self.n + self.doc[at], weights=self.weight[at], minlength=len(queries) * self.n)
         return wanted @ self.matrix + rare.reshape(len(queries), self.n)
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """All pieces by their BM25 score for the whole seed."""
-        return np.argsort(-self.scores([self.terms[seed]])[0], kind="stable")
-
 
-def fill(shard: Shard, window: int, at: np.ndarray | None = None, begun: dict[int, int] | None = None) -> list[list[tuple[int, int, int]]]:
-    """Windows as lists of (piece, from, to): every id of every piece in exactly one place.
-
-    at: up to where each piece is packed already. begun: pieces, packed already, whose windows have so much space left; they come first.
-    """
-    at = np.zeros(shard.n, np.int64) if at is None else at.copy()
-    begun = begun or {}
+def fill(shard: Shard, window: int) -> list[list[tuple[int, int, int]]]:
+    """Windows as lists of (piece, from, to): every id of every piece in exactly one place."""
+    at = np.zeros(shard.n, np.int64)
     size = np.array([len(p) for p in shard.pieces], dtype=np.int64)
     out: list[list[tuple[int, int, int]]] = []
-    for seed in [*begun, *(p for p in range(shard.n) if p not in begun)]:
-        if seed in begun:
-            here, space = [], begun[seed]
-        elif at[seed] >= size[seed]:
+    scores: dict[int, np.ndarray] = {}
+    for seed in range(shard.n):
+        if at[seed] >= size[seed]:
             continue
-        else:
-            here, space = [(seed, int(at[seed]), int(size[seed]))], window - int(size[seed] - at[seed])
-            at[seed] = size[seed]
+        here, space = [(seed, int(at[seed]), int(size[seed]))], window - int(size[seed] - at[seed])
+        at[seed] = size[seed]
         if space and (at < size).any():
-            ranked = shard.neighbours(seed)
+            if seed not in scores:
+                asked = [seed, *(seed + 1 + np.flatnonzero(at[seed + 1 :] < size[seed + 1 :])[: QUERIES - 1]).tolist()]
+                scores = dict(zip(asked, shard.scores([shard.terms[p] for p in asked]), strict=True))
+            ranked = np.argsort(-scores[seed], kind="stable")
             ranked = ranked[at[ranked] < size[ranked]]
             left = size[ranked] - at[ranked]
             k = 0
-            while space and len(ranked):
-                fits = np.flatnonzero(left[k:] <= space)
-                if not len(fits):
-                    break
+            while space and len(fits := np.flatnonzero(left[k:] <= space)):
                 k += int(fits[0])
                 p = int(ranked[k])
                 here.append((p, int(at[p]), int(size[p])))
@@ -233,163 +225,71 @@ def fill(shard: Shard, window: int, at: np.ndarray | None = None, begun: dict[in
     return out
 
 
-def _ids(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(b, dtype="<u2") for b in table.column("ids").to_pylist()]
-
-
-def _best(score: np.ndarray, among: np.ndarray, k: int, turn: int) -> np.ndarray:
-    """The k best places of score among those given; which ones of equal score differs by turn."""
-    among = np.roll(among, -(turn % max(1, len(among))))
-    return among if len(among) <= k else among[np.argpartition(-score[among], k)[:k]]
-
-
-def hits(opened: DataFrame, free: DataFrame, idf, mean: float, n_open: int, n_free: int, index_pieces: int = INDEX_PIECES) -> DataFrame:
-    """seed, space, row, at, length, score and fit: the HITS best free pieces that fit each open window, of all shards, or else the best piece."""
-    shards, blocks = max(1, -(-n_free // index_pieces)), max(1, -(-n_open // index_pieces))
-
-    def each(name: str, n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-
-    def own(name: str, n: int):
-        return F.pmod(F.xxhash64("row", F.lit(name)), F.lit(n)).cast("int").alias(name)
-
-    dealt = free.select("row", "at", "length", "ids", F.lit(None).cast("long").alias("space"), own("shard", shards), each("block", blocks)).unionByName(opened.select("row", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("length"), "ids", "space", each("shard", shards), own("block", blocks)))
-
-    def work(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("row", "ascending")])
-        seeds, held = table.filter(table.column("space").is_valid()), table.filter(table.column("space").is_null())
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(seeds) and len(held):
-            shard = Shard(_ids(held), idf.value, mean)
-            row, at, length = (held.column(c).to_numpy() for c in ("row", "at", "length"))
-            seed, space, asked = seeds.column("row").to_numpy(), seeds.column("space").to_numpy(), _ids(seeds)
-            for q in range(0, len(seed), QUERIES):
-                score = shard.scores([np.unique(a) for a in asked[q : q + QUERIES]])
-                for k, of in enumerate(score, q):
-                    fits = length <= space[k]
-                    for fit, n in ((True, HITS), (False, 1)):
-                        p = _best(of, np.flatnonzero(fits == fit), n, int(seed[k]))
-                        out.append((np.full(len(p), seed[k]), np.full(len(p), space[k]), row[p], at[p], length[p], of[p], np.full(len(p), fit)))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 5 + [np.zeros(0), np.zeros(0, bool)]
-        return pa.table(columns, names=["seed", "space", "row", "at", "length", "score", "fit"])
-
-    found = dealt.groupBy("shard", "block").applyInArrow(work, "seed long, space long, row long, at long, length long, score double, fit boolean")
-    found = found.withColumn("tie", F.xxhash64("seed", "row"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("fit"), F.desc("score"), "tie")))
-    return ranked.where((F.col("fit") & (F.col("rank") <= HITS)) | (F.col("rank") == 1))
-
-
-def _taken(scratch: Scratch, best: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """What windows take of their hits: pieces that fit, whole, and cuts of others; as seed, row, a, b, offset."""
-    to = best.where("fit").groupBy("row").agg(F.max(F.struct("score", "tie", "seed", "space", "at", "length")).alias("w")).select("row", "w.*")
-    fits = to.withColumn("c", F.sum("length").over(Window.partitionBy("seed").orderBy(F.desc("score"), "tie"))).where("c <= space")
-    fits = scratch.save(fits.select("seed", "row", F.col("at").alias("a"), (F.col("at") + F.col("length")).alias("b"), (window - F.col("space") + F.col("c") - F.col("length")).alias("offset")))
-    cuts = best.where("not fit").join(fits.select("row"), "row", "left_anti")
-    cuts = cuts.withColumn("c", F.sum("space").over(Window.partitionBy("row").orderBy(F.desc("score"), "tie"))).where("c <= length")
-    cuts = scratch.save(cuts.select("seed", "row", (F.col("at") + F.col("c") - F.col("space")).alias("a"), (F.col("at") + F.col("c")).alias("b"), (window - F.col("space")).alias("offset")))
-    return fits, cuts
-
-
-def _last(opened: DataFrame, free: DataFrame, idf, mean: float, window: int) -> DataFrame:
-    """Places of all free pieces, by one task."""
-
-    def work(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("row", "ascending")])
-        row, space = table.column("row").to_pylist(), table.column("space").to_pylist()
-        pieces = _ids(table)
-        at = np.array([len(i) if a is None else a for a, i in zip(table.column("at").to_pylist(), pieces, strict=True)], dtype=np.int64)
-        begun = {k: s for k, s in enumerate(space) if s is not None}
-        rows, seeds = [], list(begun)
-        for w, placed in enumerate(fill(Shard(pieces, idf.value, mean), window, at, begun)):
-            seed = seeds[w] if w < len(seeds) else placed[0][0]
-            offset = window - begun[seed] if w < len(seeds) else 0
-            for p, a, b in placed:
-                rows.append((row[seed], row[p], a, b, offset))
-                offset += b - a
-        return pa.table([pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [[]] * 5], names=["seed", "row", "a", "b", "offset"])
-
-    none = F.lit(None).cast("long")
-    both = free.select("row", "at", "ids", none.alias("space")).unionByName(opened.select("row", none.alias("at"), "ids", "space"))
-    return both.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(work, "seed long, row long, a long, b long, offset long")
-
-
-def _seeds(free: DataFrame, tokens: int, window: int) -> Column:
-    """Whether a free piece is a seed: so many are, by a hash, that their windows hold no more than all ids."""
-    part = F.pmod(F.xxhash64("row", F.lit("seed")), F.lit(PARTS))
-    counts = {r.p: r.n for r in free.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # PARTS rows at most
-    total, last = 0, min(counts)
-    for p in sorted(counts):
-        total += counts[p]
-        if total > tokens // window:
-            break
-        last = p
-    return part <= last
-
-
-def places(scratch: Scratch, rest: DataFrame, idf, mean: float, window: int, shard_pieces: int, index_pieces: int) -> DataFrame:
-    """seed (a window's first piece), row, a, b and offset: every id of every piece in exactly one place."""
-    schema = "row long, space long, ids binary"
-    size = lambda df, c: tuple(x or 0 for x in df.agg(F.count("*"), F.sum(c)).first())
-    free, opened, n_open = rest.select("row", F.lit(0).cast("long").alias("at"), "length", "ids"), scratch.spark.createDataFrame([], schema), 0
-    out: list[DataFrame] = []
-    old: list[DataFrame] = []
-    while True:
-        n_free, tokens = size(free, "length")
-        if n_open + n_free <= shard_pieces:
-            out.append(scratch.save(_last(opened, free, idf, mean, window)))
-            break
-        if not n_free:
-            break
-        if not n_open:
-            chosen = _seeds(free, tokens, window)
-            seeds = free.where(chosen)
-            out.append(scratch.save(seeds.select(F.col("row").alias("seed"), "row", F.col("at").alias("a"), (F.col("at") + F.col("length")).alias("b"), F.lit(0).cast("long").alias("offset"))))
-            opened = scratch.save(seeds.select("row", (window - F.col("length")).alias("space"), "ids").where("space > 0"))
-            free = scratch.save(free.where(~chosen))
-        else:
-            best = scratch.save(hits(opened, free, idf, mean, n_open, n_free, index_pieces))
-            fits, cuts = _taken(scratch, best, window)
-            out += [fits, cuts]
-            cut = cuts.groupBy("row").agg(F.sum(F.col("b") - F.col("a")).alias("d"))
-            free = free.join(fits.select("row"), "row", "left_anti").join(cut, "row", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-            free = scratch.save(free.select("row", (F.col("at") + F.col("d")).alias("at"), (F.col("length") - F.col("d")).alias("length"), "ids").where("length > 0"))
-            got = fits.unionAll(cuts).groupBy(F.col("seed").alias("row")).agg(F.sum(F.col("b") - F.col("a")).alias("d"))
-            opened = opened.join(got, "row", "left")
-            opened = scratch.save(opened.select("row", (F.col("space") - F.coalesce("d", F.lit(0))).alias("space"), "ids").where("space > 0"))
-            old.append(best)
-        scratch.drop(*old)
-        old = [free, opened]
-        n_open = size(opened, "space")[0]
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionAll(o)
-    return every
-
-
-def pack(documents: DataFrame, window: int = WINDOW, path: str | None = None, shard_pieces: int = SHARD_PIECES, index_pieces: int = INDEX_PIECES) -> DataFrame:
+def key_of(ids: np.ndarray, frequency: np.ndarray) -> bytes:
+    """What orders a piece: its rarest ids that more than one piece has, rarest first."""
+    u = np.unique(ids).astype(np.int64)
+    n = frequency[u]
+    u, n = u[n > 1], n[n > 1]
+    first = np.lexsort((u, n))[:KEY_IDS]
+    return b"".join(int(n[k]).to_bytes(6, "big") + int(u[k]).to_bytes(2, "big") for k in first)
+
+
+def sharded(pieces: DataFrame, frequency, n: int, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """pieces (ids, row, ...) with pk_key, ordered by it within and across partitions of a few shards; frequency: a broadcast array."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            yield [pa.array([key_of(np.frombuffer(raw, dtype="<u2"), frequency.value) for raw in batch.column("ids").to_pylist()], pa.binary())]
+
+    keys = append_columns(pieces, [("pk_key", T.BinaryType())], work)
+    return keys.repartitionByRange(max(1, -(-n // (shard_pieces * TASK_SHARDS))), "pk_key", "row").sortWithinPartitions("pk_key", "row")
+
+
+def pack(documents: DataFrame, window: int = WINDOW, path: str | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """The pieces of all documents with their places: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = prepare(documents.sparkSession)
     scratch = Scratch(spark, "packing")
-    kind = documents.schema["doc_id"].dataType
+    kind = documents.schema["doc_id"].dataType.simpleString()
     pieces = scratch.save(_pieces(documents, window, path or public_tokenizers.path(RANKS)))
     rest = pieces.where("ids is not null")
     n, mean = rest.select(F.count("*"), F.avg("length")).first()
-    idf = np.zeros(1 << 16)
+    frequency = np.zeros(1 << 16, np.int64)
     #: A row for each id of the vocabulary at most.
     for r in rest.select("ids").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        idf[r.id] = np.log(1 + (n - r.n + 0.5) / (r.n + 0.5))
-    held = spark.sparkContext.broadcast(idf)
+        frequency[r.id] = r.n
+    held = spark.sparkContext.broadcast(frequency)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            start, a, b, seed = (batch.column(c).to_numpy() for c in ("start", "a", "b", "seed"))
-            crc = [_crc(np.frombuffer(raw, dtype="<u2")[x:y]) for raw, x, y in zip(batch.column("ids").to_pylist(), a, b, strict=True)]
-            arrays = [pa.array(c, pa.int64()) for c in (start + a, b - a, crc)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, batch.column("doc_tokens"), pa.array(seed | (1 << 62)), batch.column("offset")], names=names)
+        idf = np.log(1 + (n - held.value + 0.5) / (held.value + 0.5))
+        sequence = (TaskContext.get().partitionId() << 32) | (1 << 62)
+        waiting: list[pa.RecordBatch] = []
+
+        def filled(table: pa.Table) -> pa.RecordBatch:
+            nonlocal sequence
+            ids = [np.frombuffer(b, dtype="<u2") for b in table.column("ids").to_pylist()]
+            rows = []
+            for placed in fill(Shard(ids, idf, mean), window):
+                offset = 0
+                for p, a, b in placed:
+                    rows.append((p, a, b - a, _crc(ids[p][a:b]), sequence, offset))
+                    offset += b - a
+                sequence += 1
+            of, a, length, crc, number, offset = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
+            start, tokens = (table.column(c).to_numpy()[of] for c in ("start", "doc_tokens"))
+            return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(pa.array(of)), *(pa.array(c) for c in (start + a, length, crc, tokens, number, offset))], names=names)
 
-    placed = places(scratch, rest.select("row", "length", "ids"), held, mean, window, shard_pieces, index_pieces)
-    packed = placed.join(rest.select("row", "doc_id", "start", "doc_tokens", "ids"), "row").mapInArrow(work, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        for batch in batches:
+            waiting.append(batch)
+            while sum(b.num_rows for b in waiting) >= shard_pieces:
+                table = pa.Table.from_batches(waiting)
+                yield filled(table.slice(0, shard_pieces))
+                waiting = table.slice(shard_pieces).to_batches()
+        if sum(b.num_rows for b in waiting):
+            yield filled(pa.Table.from_batches(waiting))
+
+    dealt = sharded(rest.select("row", "doc_id", "start", "doc_tokens", "ids"), held, n, shard_pieces).drop("pk_key")
+    packed = dealt.mapInArrow(work, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return pieces.where("ids is null").select(*names[:-1], F.lit(0).cast("long").alias("offset")).unionAll(packed)
 
 
