@@ -111,6 +111,40 @@ def test_pii_contexts_discover_what_no_pattern_has(spark):
     assert got[0] == "email:19:33" and got[10] == "email:19:25" and got[11] == "" and got[12] == ""
 
 
+def test_pii_patterns_do_not_speak_for_themselves(spark):
+    """30 addresses and 70 plain words in the same places: the pattern is worth 0.3, in every round."""
+    rows = [(k, f"the total is user{k}@mail.org now") for k in range(30)] + [(100 + k, f"the total is item_{k} now") for k in range(70)]
+    got = {r.doc_id: r.spans for r in pii.report(table(spark, rows)).collect()}
+    assert all(got[k] for k in range(30)) and not any(got[100 + k] for k in range(70))
+
+
+def test_pii_precision_and_recall_of_discovered_spans(spark):
+    """Names after a confident context are found, those in plain contexts are left alone; other columns keep their values."""
+    rng = random.Random(22)
+    rows, planted = [], set()
+    for k in range(200):
+        words = prose(rng, 12)
+        if k % 4 == 0:
+            rows.append((k, f"{words} write to me at u{k}@mail.org please {words}"))
+        elif k % 10 == 1:
+            planted.add(k)
+            rows.append((k, f"{words} write to me at nick_{k} please {words}"))
+        else:
+            rows.append((k, f"{words} version_{k} of it {words}"))
+    docs = table(spark, rows).withColumn("pii_row", F.col("doc_id") + 5).withColumn("other0", F.lit("x"))
+    out = pii.find_pii(docs).collect()
+    found = {r.doc_id for r in out if r.pii_found}
+    assert planted <= found and len(found - planted) <= 0.02 * len(rows)
+    assert all(r.pii_row == r.doc_id + 5 and r.other0 == "x" for r in out)
+
+
+def test_pii_words_are_whole():
+    long = "x" * 250
+    words = pii.Words(f"a {long} me@b.co {long}y")
+    assert words.before(253) != pii.Words(f"a {long}z me@b.co").before(254) and words.before(2) == ["\x02", "a"]
+    assert words.after(260) != words.before(253)[1] and pii.Words("a b").after(3) == ""
+
+
 # -- 2
 
 

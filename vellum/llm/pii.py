@@ -5,8 +5,9 @@ candidate is a run of non-space characters that holds a digit, '@' or '_' and to
 Lexical patterns link to what they surround: the two words before, the word before with the word
 after, and the word before with the outline of the run itself (letters a, digits 9). A bipartite graph
 of patterns and instances, pre-aggregated to one edge a pair, is scored by turns in Spark: a pattern's
-confidence for a kind is the mean score of its instances, shrunk by PRIOR; an instance's score is the
-best confidence of its patterns. Seeds stay at 1. After ROUNDS turns, candidates under patterns with at
+confidence for a kind is the mean score of its instances, shrunk by PRIOR; an instance's score for a pattern is the
+best confidence of its patterns after other words, so no pattern speaks for itself, nor for those that stand in
+the same places. Seeds stay at 1. After ROUNDS turns, candidates under patterns with at
 least LEAST_SEEDS different seeds and a confidence of CONFIDENCE become spans of the pattern's kind.
 
 Documents are read once; occurrences are written without texts, and only they are joined.
@@ -19,6 +20,8 @@ the first by name; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +42,9 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK, _REST = re.compile(r"[0-9@_]"), re.compile(r"\S*")
+_RUN = re.compile(r"\S+")
+#: Characters of a word that stands for itself in a pattern.
+SHORT = 64
 _EDGE = ".,;:!?()[]{}<>\"'"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -96,29 +102,48 @@ def outline(run: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", run)))
 
 
-def _before(text: str, at: int, most: int = 200) -> list[str]:
-    return text[max(0, at - most) : at].lower().split()[-2:]
+class Words:
+    """The words around places of a text. A long one stands as a digest of its whole run, so that none is cut."""
 
+    def __init__(self, text: str):
+        self.text = text
+        runs = [m.span() for m in _RUN.finditer(text)]
+        self.starts, self.ends = [a for a, _ in runs], [b for _, b in runs]
+        self.digests: dict[int, int] = {}
 
-def _after(text: str, at: int, most: int = 100) -> str:
-    """The first word at or after a place, which may be the rest of a run."""
-    w = text[at : at + most].lower().split(None, 1)
-    return w[0] if w else ""
+    def _word(self, run: int, a: int, b: int) -> str:
+        if b - a <= SHORT:
+            return self.text[a:b].lower()
+        start, end = self.starts[run], self.ends[run]
+        if run not in self.digests:
+            self.digests[run] = zlib.crc32(self.text[start:end].lower().encode("utf-8", "surrogatepass"))
+        return f"#{self.digests[run]}:{a - start}:{end - b}"
 
+    def before(self, at: int) -> list[str]:
+        """The two words before a place, the first of which may be the beginning of its run; \\x02 stands for the text's start."""
+        k, out = bisect_left(self.starts, at) - 1, []
+        while len(out) < 2:
+            out.insert(0, self._word(k, self.starts[k], min(at, self.ends[k])) if k >= 0 else "\x02")
+            k -= 1
+        return out
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """What surrounds a span: a kind of context and its words."""
-    left = _before(text, start)
-    if not left:
-        return []
-    out = [f"LS\x1f{left[-1]}\x1f{outline(text[start:end])}", f"LR\x1f{left[-1]}\x1f{_after(text, end)}"]
-    return [*out, "LL\x1f" + "\x1f".join(left)] if len(left) == 2 else out
+    def after(self, at: int) -> str:
+        """The first word at or after a place, which may be the rest of a run."""
+        k = bisect_right(self.ends, at)
+        return self._word(k, max(at, self.starts[k]), self.ends[k]) if k < len(self.ends) else ""
+
+
+def patterns(words: Words, start: int, end: int) -> list[str]:
+    """What surrounds a span: the word before, the kind of context, and the rest of it."""
+    two, one = words.before(start)
+    run = words.text[start:end]
+    return [f"{one}\x1fS\x1f{outline(run)}", f"{one}\x1fR\x1f{words.after(end)}", f"{one}\x1fL\x1f{two}"]
 
 
 def occurrences(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str | None, int, int, str, list[str]]]]:
     """Base spans, and all mentions: kind (None for a candidate), start, end, instance, patterns."""
-    base = base_spans(text)
-    mentions = [(kind, a, b, text[a:b], patterns(text, a, b)) for kind in KINDS for a, b in base[kind]]
+    base, words = base_spans(text), Words(text)
+    mentions = [(kind, a, b, text[a:b], patterns(words, a, b)) for kind in KINDS for a, b in base[kind]]
     covered = sorted(s for kind in KINDS for s in base[kind])
     k = 0
     for a, b in _marked(text):
@@ -127,7 +152,7 @@ def occurrences(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple
         while k < len(covered) and covered[k][1] <= a:
             k += 1
         if b - a >= 3 and not any(s < b and a < e for s, e in covered[k : k + 4]):
-            mentions.append((None, a, b, text[a:b], patterns(text, a, b)))
+            mentions.append((None, a, b, text[a:b], patterns(words, a, b)))
     return base, mentions
 
 
@@ -143,16 +168,21 @@ def confident_patterns(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS,
     graph = scratch.save(edges.join(able.select("pattern").distinct(), "pattern", "left_semi"))
     size = graph.groupBy("pattern").agg(F.count("*").alias("size"))
     scored = able.join(size, "pattern").withColumn("confidence", F.col("seeds") / (F.col("size") + PRIOR))
+    candidates = graph.where("kind is null").select("pattern", "instance", F.substring_index("pattern", "\x1f", 1).alias("before"))
     for _ in range(rounds - 1):
-        instances = graph.where("kind is null").join(scored, "pattern").groupBy("instance", scored["kind"].alias("found")).agg(F.max("confidence").alias("score"))
-        gained = graph.where("kind is null").drop("kind").join(instances, "instance").groupBy("pattern", F.col("found").alias("kind")).agg(F.sum("score").alias("gained"))
+        #: What an instance is worth to a pattern comes from its patterns after other words: those after the same word stand in the same places.
+        by_word = candidates.join(scored, "pattern").groupBy("instance", F.col("kind").alias("found"), "before").agg(F.max("confidence").alias("c"))
+        best = by_word.groupBy("instance", "found").agg(F.max("c").alias("first"), F.max_by("before", F.struct("c", "before")).alias("of"))
+        second = by_word.join(best, ["instance", "found"]).where("before <> of").groupBy("instance", "found").agg(F.max("c").alias("second"))
+        worth = best.join(second, ["instance", "found"])  # those with patterns after two words at least
+        gained = candidates.join(worth, "instance").groupBy("pattern", F.col("found").alias("kind")).agg(F.sum(F.when(F.col("before") == F.col("of"), F.col("second")).otherwise(F.col("first"))).alias("gained"))
         scored = able.join(size, "pattern").join(gained, ["pattern", "kind"], "left").withColumn("confidence", (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("size") + PRIOR)).select("pattern", "kind", "seeds", "size", "confidence")
         scored = scratch.save(scored)
     return scored.where(F.col("confidence") >= confidence).select("pattern", "kind", "confidence")
 
 
 def find_pii(documents: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """documents without text, with pii_base and pii_found: arrays of (kind, start, end) in code points."""
+    """documents without text, with pii_base and pii_found, arrays of (kind, start, end) in code points, in the place of columns of these names."""
     spark = prepare(documents.sparkSession)
     scratch = Scratch(spark, "pii")
 
@@ -160,8 +190,10 @@ def find_pii(documents: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAS
         for batch in batches:
             yield [pa.array([[dict(zip(_NAMES, m, strict=True)) for m in occurrences(t)[1]] for t in texts(batch)])] if batch.num_rows else [pa.array([])]
 
-    found = append_columns(documents, [("pii_mentions", _MENTION)], work)
-    rows = scratch.save(found.drop("text")).withColumn("pii_row", F.monotonically_increasing_id())
+    others = [c for c in documents.columns if c not in ("text", "pii_base", "pii_found")]
+    safe = documents.select("text", *(F.col(f"`{c}`").alias(f"other{k}") for k, c in enumerate(others)))
+    #: Numbered before it is written, so that every reading sees the same numbers.
+    rows = scratch.save(append_columns(safe, [("pii_mentions", _MENTION)], work).drop("text").withColumn("pii_row", F.monotonically_increasing_id()))
     mentions = rows.select("pii_row", F.explode("pii_mentions").alias("m")).select("pii_row", "m.*")
     edges = mentions.select("kind", "instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     sure = confident_patterns(scratch.save(edges), scratch, rounds, least_seeds, confidence)
@@ -170,8 +202,8 @@ def find_pii(documents: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAS
     new = best.groupBy("pii_row").agg(F.array_sort(F.collect_list("s")).alias("pii_found"))
     base = F.transform(F.filter("pii_mentions", lambda m: m.kind.isNotNull()), lambda m: F.struct(m.kind.alias("kind"), m.start.alias("start"), m.end.alias("end")))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
-    return rows.join(new, "pii_row", "left").select(*others, base.alias("pii_base"), F.coalesce("pii_found", none).alias("pii_found"))
+    out = rows.join(new, "pii_row", "left").select(*(f"other{k}" for k in range(len(others))), base.alias("pii_base"), F.coalesce("pii_found", none).alias("pii_found"))
+    return out.toDF(*others, "pii_base", "pii_found")
 
 
 def report(documents: DataFrame) -> DataFrame:
