@@ -79,6 +79,13 @@ def test_other_columns_pass_through_whatever_their_names(spark, no_labels, items
         assert out.columns == docs.columns and sorted(r.score for r in out.collect()) == [5, 6]
 
 
+def test_added_columns_take_the_place_of_such_names(spark, no_labels, items):
+    docs = spark.createDataFrame([(1, "four five six", 5, 5, 5, 5, 5), (2, "other words", 6, 6, 6, 6, 6)], "doc_id long, text string, shard_size int, contam_spans int, quality_grade int, tox_score int, score int")
+    outs = {"shard_size": sharding.plan_shards(docs), "contam_spans": decontamination.find_contamination(docs, items), "quality_grade": quality.score(docs, quality.fit(docs, quality.ratings(no_labels))), "tox_score": toxicity.score(docs, toxicity.fit(docs, no_labels))}
+    for name, out in outs.items():
+        assert out.columns.count(name) == 1 and sorted(r.score for r in out.collect()) == [5, 6] and sorted(r[name] or [] for r in out.collect()) != [5, 6]
+
+
 # -- 1
 
 
@@ -542,6 +549,17 @@ def test_shards_are_even_and_groups_whole(spark):
     assert len({r.shard for r in out if r.doc_id >= 2000}) == 1
 
 
+def test_differencing_over_levels_is_as_even(spark, monkeypatch):
+    rng = random.Random(15)
+    weights = {f"g{k}": rng.randrange(1, 10**5) for k in range(3000)}
+    groups = spark.createDataFrame(list(weights.items()), "group string, weight long")
+    monkeypatch.setattr(sharding, "FAN", 4)
+    size, got = collections.Counter(), sharding.assign(groups, 24, chunk_groups=60).collect()
+    for r in got:
+        size[r.shard] += weights[r.group]
+    assert len(got) == 3000 and len(size) == 24 and max(size.values()) - min(size.values()) <= 5000
+
+
 # -- 9
 
 

@@ -164,7 +164,7 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Ite
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """documents with contam_n_words, contam_spans (word ranges hit: start, end, start, ...) and contam_items."""
+    """documents with contam_n_words, contam_spans (word ranges hit: start, end, start, ...) and contam_items, in the place of columns of these names."""
     spark = prepare(documents.sparkSession)
     added = [("contam_n_words", T.LongType()), ("contam_spans", T.ArrayType(T.LongType())), ("contam_items", T.ArrayType(T.StringType()))]
     out = documents
@@ -192,7 +192,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
                 n = batch.num_rows
                 yield [shard.n_words, [_merged(spans.get(d, [])) for d in range(n)], [sorted(names.get(d, ())) for d in range(n)]]
 
-        out = append_columns(out, added, work, replace=k > 0)
+        out = append_columns(out, added, work, replace=True)
     return out
 
 

@@ -146,7 +146,7 @@ def fit(documents: DataFrame, rated: DataFrame, size: int = SAMPLE, levels: int
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with quality_grade (expected) and quality_tails (P(grade > j), from j = 0)."""
+    """documents with quality_grade (expected) and quality_tails (P(grade > j), from j = 0), in the place of columns of these names."""
     held = prepare(documents.sparkSession).sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -154,7 +154,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             tails = held.value.tails(texts(batch))
             yield [pa.array(tails.sum(axis=1)), tails.tolist()]
 
-    return append_columns(documents, [("quality_grade", T.DoubleType()), ("quality_tails", T.ArrayType(T.DoubleType()))], work)
+    return append_columns(documents, [("quality_grade", T.DoubleType()), ("quality_tails", T.ArrayType(T.DoubleType()))], work, replace=True)
 
 
 def select_good(documents: DataFrame, model: Model, above: int = 0, threshold: float = 0.5) -> DataFrame:

@@ -3,7 +3,8 @@
 A partial partition is a tuple of k subset sums. Differencing takes the two with the largest spread
 (largest less smallest sum) and adds them oppositely ordered, until one is left. Groups are dealt
 into chunks by a hash of their text, differencing runs in each chunk, and then over the chunks'
-tuples, one tuple of k sums a chunk, which goes on with the same procedure from where they stopped.
+tuples, one tuple of k sums a chunk, FAN of them in a task, level by level until one tuple is left, which
+goes on with the same procedure from where they stopped.
 A group of a third of all rows is one number: its rows are never brought together.
 
 Slots number the rows of a shard without gaps: rows are counted by (shard, bucket), buckets get
@@ -11,8 +12,8 @@ offsets, and rows are numbered within their bucket, so no task holds a shard.
 
 Cases: a null text counts as the empty text, whose group is like any other; repeated rows each get a
 slot; an empty table gives no rows; where groups are fewer than shards, some shards are empty; ties
-of spread go to the tuple that came first; other columns pass through plan_shards() whatever
-their names.
+of spread go to the tuple that came first; other columns pass through plan_shards(), which puts its own in
+the place of such as have their names.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ from pyspark.sql import functions as F
 from vellum.llm.common import Scratch, prepare
 
 SHARDS = 24
+_ADDED = ("shard_size", "shard_crc32", "shard", "shard_slot")
 #: Groups that a chunk has on average; one chunk is differenced in one task's memory.
 CHUNK_GROUPS = 20_000
+#: Tuples that are differenced in one task, level by level.
+FAN = 1000
 #: Rows of a shard that one numbering bucket has on average.
 BUCKET_ROWS = 20_000
 
@@ -83,48 +87,66 @@ def difference(tuples: list[list[int]]) -> tuple[list[list[int]], list[int]]:
     return out, list(root.sums)
 
 
-def assign(groups: DataFrame, shards: int = SHARDS, chunk_groups: int = CHUNK_GROUPS, scratch: Scratch | None = None) -> DataFrame:
-    """groups (group, weight) with the shard of each: group, shard.
+def _lifted(tuples: DataFrame, n: int, shards: int) -> DataFrame:
+    """Differencing over n chunks' tuples (chunk, part, s) by groups of FAN: chunk, part, parent, and up, the part of the parent, with its sum."""
+    parents = max(1, -(-n // FAN))
 
-    Only one tuple of sums for each chunk of groups comes to the driver.
-    """
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        sums: dict[int, list[int]] = {}
+        for chunk, part, s in zip(*(table.sort_by([("chunk", "ascending"), ("part", "ascending")]).column(c).to_pylist() for c in ("chunk", "part", "s")), strict=True):
+            sums.setdefault(chunk, [0] * shards)[part] = s
+        placed, of = difference(list(sums.values()))
+        rows = [(c, k, key[0].as_py(), up, of[up]) for c, p in zip(sums, placed, strict=True) for k, up in enumerate(p)]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "part", "parent", "up", "up_sum"])
+
+    return tuples.withColumn("parent", F.col("chunk") % parents).groupBy("parent").applyInArrow(work, "chunk long, part int, parent long, up int, up_sum long")
+
+
+def assign(groups: DataFrame, shards: int = SHARDS, chunk_groups: int = CHUNK_GROUPS, scratch: Scratch | None = None) -> DataFrame:
+    """groups (group, weight) with the shard of each: group, shard. Nothing but counts comes to the driver."""
     spark = prepare(groups.sparkSession)
     scratch = scratch or Scratch(spark, "shards")
-    n = groups.count()
-    chunks = max(1, -(-n // chunk_groups))
+    n = max(1, -(-groups.count() // chunk_groups))
     kind = groups.schema["group"].dataType.simpleString()
 
     def local(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("weight", "descending"), ("group", "ascending")])
-        weights = table.column("weight").to_pylist()
-        placed, sums = difference([[w] + [0] * (shards - 1) for w in weights])
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(weights), pa.int64()), "group": table.column("group"), "part": pa.array([p[0] for p in placed], pa.int32()), "part_sum": pa.array([sums[p[0]] for p in placed], pa.int64())})
-
-    dealt = groups.withColumn("chunk", F.pmod(F.xxhash64("group"), F.lit(chunks)).cast("long"))
-    local_parts = scratch.save(dealt.groupBy("chunk").applyInArrow(local, f"chunk long, group {kind}, part int, part_sum long"))
-    sums: dict[int, list[int]] = {}
-    for r in local_parts.groupBy("chunk", "part").agg(F.max("part_sum").alias("s")).orderBy("chunk", "part").collect():
-        sums.setdefault(r.chunk, [0] * shards)[r.part] = r.s
-    placed, _ = difference(list(sums.values()))
-    rows = [(c, k, s) for c, p in zip(sums, placed, strict=True) for k, s in enumerate(p)]
-    final = spark.createDataFrame(rows, "chunk long, part int, shard int") if rows else spark.createDataFrame([], "chunk long, part int, shard int")
-    return local_parts.join(final, ["chunk", "part"]).select("group", "shard")
+        placed, sums = difference([[w] + [0] * (shards - 1) for w in table.column("weight").to_pylist()])
+        chunk = pa.array([key[0].as_py()] * len(placed), pa.int64())
+        return pa.table({"chunk": chunk, "group": table.column("group"), "part": pa.array([p[0] for p in placed], pa.int32()), "part_sum": pa.array([sums[p[0]] for p in placed], pa.int64())})
+
+    dealt = groups.withColumn("chunk", F.pmod(F.xxhash64("group"), F.lit(n)).cast("long"))
+    parts = scratch.save(dealt.groupBy("chunk").applyInArrow(local, f"chunk long, group {kind}, part int, part_sum long"))
+    tuples, levels = parts.groupBy("chunk", "part").agg(F.max("part_sum").alias("s")), []
+    while True:
+        levels.append(scratch.save(_lifted(tuples, n, shards)))
+        if n <= FAN:
+            break
+        tuples, n = levels[-1].groupBy(F.col("parent").alias("chunk"), F.col("up").alias("part")).agg(F.max("up_sum").alias("s")), -(-n // FAN)
+    final = levels[-1].select("chunk", "part", F.col("up").alias("shard"))
+    for below in levels[-2::-1]:
+        above = final.select(F.col("chunk").alias("parent"), F.col("part").alias("up"), "shard")
+        final = below.join(above, ["parent", "up"]).select("chunk", "part", "shard")
+    return parts.join(final, ["chunk", "part"]).select("group", "shard")
 
 
 def plan_shards(documents: DataFrame, shards: int = SHARDS, chunk_groups: int = CHUNK_GROUPS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """documents with shard_size (UTF-8 bytes plus 8), shard_crc32, shard and shard_slot; text itself is left out."""
+    """documents with shard_size (UTF-8 bytes plus 8), shard_crc32, shard and shard_slot, in the place of columns of these names; text itself is left out."""
     spark = prepare(documents.sparkSession)
     scratch = Scratch(spark, "shards")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    others = [c for c in documents.columns if c != "text"]
-    rows = scratch.save(documents.select(*[F.col(f"`{c}`") for c in others], (F.octet_length(text) + 8).cast("long").alias("shard_size"), F.crc32(text).alias("shard_crc32"), F.md5(text).alias("shard_group")))
+    others = [c for c in documents.columns if c not in ("text", *_ADDED)]
+    safe = [f"other{k}" for k in range(len(others))]
+    kept = [F.col(f"`{c}`").alias(k) for c, k in zip(others, safe, strict=True)]
+    rows = scratch.save(documents.select(*kept, (F.octet_length(text) + 8).cast("long").alias("shard_size"), F.crc32(text).alias("shard_crc32"), F.md5(text).alias("shard_group")))
     rows = rows.withColumn("shard_row", F.monotonically_increasing_id())
     groups = scratch.save(rows.groupBy(F.col("shard_group").alias("group")).agg(F.sum("shard_size").alias("weight")))
     placed = assign(groups, shards, chunk_groups, scratch)
     #: The groups' side of this join has a row a key, so a hot group's rows can be split over tasks (adaptive skew join).
     joined = rows.join(placed.withColumnRenamed("group", "shard_group"), "shard_group")
     buckets = max(1, -(-rows.count() // (shards * bucket_rows)))
-    placed_rows = scratch.save(joined.select(*[F.col(f"`{c}`") for c in others], "shard_size", "shard_crc32", "shard", F.pmod(F.xxhash64("shard_row"), F.lit(buckets)).cast("int").alias("shard_bucket"), "shard_row"))
+    placed_rows = scratch.save(joined.select(*safe, "shard_size", "shard_crc32", "shard", F.pmod(F.xxhash64("shard_row"), F.lit(buckets)).cast("int").alias("shard_bucket"), "shard_row"))
     counts = placed_rows.groupBy("shard", "shard_bucket").count()
     before = Window.partitionBy("shard").orderBy("shard_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "shard_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shard_offset"))
@@ -132,7 +154,8 @@ def plan_shards(documents: DataFrame, shards: int = SHARDS, chunk_groups: int =
     return (
         placed_rows.withColumn("shard_at", F.row_number().over(within) - 1)
         .join(offsets, ["shard", "shard_bucket"])
-        .select(*[F.col(f"`{c}`") for c in others], "shard_size", "shard_crc32", "shard", (F.col("shard_offset") + F.col("shard_at")).cast("long").alias("shard_slot"))
+        .select(*safe, "shard_size", "shard_crc32", "shard", (F.col("shard_offset") + F.col("shard_at")).cast("long").alias("shard_slot"))
+        .toDF(*others, *_ADDED)
     )
 
 
