@@ -40,3 +40,16 @@ def test_stages(spark, tmp_path):
     assert set(kept["near dedup"]) - set(kept["decontamination"]) == {305}
     assert set(kept["packing"]) == set(kept["decontamination"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_takes_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null, empty and very long texts, ties, repeated rows, a column of a clashing name; and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tox_score int"
+    odd = [(1, None), (2, ""), (3, " \n "), (None, "one two three four five six"), (4, "word " * 20_000), (5, "same text of a few words here"), (5, "same text of a few words here"), (6, "x")]
+    for name, rows in (("odd", odd), ("none", [])):
+        top = tmp_path / name
+        spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7) for i, t in rows], schema).write.parquet(str(top / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(top / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(top / "benchmark.parquet"))
+        got = {r.doc_id for r in corpus_pipeline.run(spark, str(top)).collect()}
+        assert got == ({None, 1, 3, 4, 5, 6} if rows else set()), got

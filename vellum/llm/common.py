@@ -43,15 +43,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, but with a local master only: executors elsewhere would not share it."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    held = sc._jsc.sc().getCheckpointDir()
+    if named or held.isDefined():
+        return (named or held.get()).rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="vellum-")
-    spark.sparkContext.setCheckpointDir(own)
+    sc.setCheckpointDir(own)
     return own
 
 
@@ -88,12 +89,29 @@ def keyed(documents: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(documents.withColumns({"row_file": F.lit(0).cast("long"), "row_at": F.monotonically_increasing_id()}))
 
 
+#: Of each temporary() that is going on, what has been opened in it.
+_opened: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes at its end the tables of every Scratch that was opened in it."""
+    _opened.append([])
+    try:
+        yield
+    finally:
+        for scratch in _opened.pop():
+            scratch.clear()
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if _opened:
+            _opened[-1].append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         """df as a written table; shuffle files of the writing go with it."""

@@ -20,7 +20,6 @@ table gives no rows.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -273,8 +272,6 @@ def score_documents(documents: DataFrame, words: int = WORDS, rounds: int = ROUN
         of_class[r["class"]], types[r["class"]] = r.c, r.v
     looked = scratch.save(vocabulary.select("unit", "word", "number").join(classed, "word").select("unit", "number", "c", "class"))
     scratch.drop(counts)
-    gc.collect()
-    spark._jvm.System.gc()
     log_rest = np.log10(of_class + 0.1 * (types + 1))
     log_all = float(np.log10(total + 0.1 * (known + 1)))
 
@@ -297,8 +294,6 @@ def score_documents(documents: DataFrame, words: int = WORDS, rounds: int = ROUN
     schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"
     rows = scratch.save(texts.groupBy("unit").cogroup(looked.groupBy("unit")).applyInArrow(number, schema))
     scratch.drop(numbered, looked)
-    gc.collect()
-    spark._jvm.System.gc()
     held = spark.sparkContext.broadcast(fit(rows, of_class, rounds))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import Scratch, append_columns, keyed, prepare, shielded, texts
+from vellum.llm.common import Scratch, append_columns, keyed, prepare, shielded, temporary, texts
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -366,8 +366,13 @@ def with_class(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return hashed.join(found, "dup_hash", "left").withColumn("dup_class", F.coalesce("dup_root", "dup_hash")).drop("dup_root")
 
 
-def first_of_class(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """dup_hash, first_id and n_docs of the class of each different text."""
+def first_of_class(documents: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """dup_hash, first_id, first_hash and n_docs of the class of each different text, as a table in scratch."""
+    with temporary():
+        return scratch.save(_first_of_class(documents, threshold))
+
+
+def _first_of_class(documents: DataFrame, threshold: float) -> DataFrame:
     light = documents.select("doc_id", F.sha2(_text().cast("binary"), 256).alias("dup_hash"))
     found = classes(documents, threshold).select(F.col("hash").alias("dup_hash"), F.col("root"))
     by_text = light.groupBy("dup_hash").agg(F.min(F.struct("doc_id")).alias("id"), F.count("*").alias("n"))
@@ -380,8 +385,8 @@ def drop_near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) ->
     """One document of each class stays: that with the smallest id (of repeated rows, any one)."""
 
     def change(docs: DataFrame) -> DataFrame:
-        kept = first_of_class(docs, threshold).where("dup_hash = first_hash").select("dup_hash", "first_id")
         scratch = Scratch(prepare(docs.sparkSession), "neardup")
+        kept = first_of_class(docs, scratch, threshold).where("dup_hash = first_hash").select("dup_hash", "first_id")
         rows = keyed(docs, scratch).withColumn("dup_hash", F.sha2(_text().cast("binary"), 256))
         light = rows.select("dup_hash", "doc_id", "row_file", "row_at")
         here = light.join(kept, (light["dup_hash"] == kept["dup_hash"]) & light["doc_id"].eqNullSafe(kept["first_id"]), "left_semi")
@@ -394,6 +399,6 @@ def drop_near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) ->
 def report(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The class of every document, named by its smallest doc_id, and how many documents it has."""
     documents = documents.select("doc_id", "text")
-    found = Scratch(prepare(documents.sparkSession), "neardup").save(first_of_class(documents, threshold))
+    found = first_of_class(documents, Scratch(prepare(documents.sparkSession), "neardup"), threshold)
     light = documents.select("doc_id", F.sha2(_text().cast("binary"), 256).alias("dup_hash"))
     return light.join(found, "dup_hash").select("doc_id", F.col("first_id").alias("class_id"), F.col("n_docs").cast("long").alias("class_size"))
