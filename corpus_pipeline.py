@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over documents, each on all that its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the
-shared folder and reads again for the next one. All but the last return the columns of documents.
+shared folder and reads again for the next one; what the stage before it wrote is deleted then. All but the last
+return the columns of documents. Null, empty and repeated rows, empty tables and clashing columns fare as the
+operators' docstrings say: a stage hands them on to its operator as they are.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm import decontamination, line_dedup, near_dedup, packing, toxicity
-from vellum.llm.common import Scratch, prepare, read
+from vellum.llm.common import Scratch, prepare, read, temporary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +54,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over sf_dir's documents; the result is a written table too."""
     scratch = Scratch(prepare(spark), "pipeline")
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        with temporary():
+            docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop(*before)
+        before = [docs]
     return docs
 
 
