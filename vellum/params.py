@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+#: Fixed value: the syntax of parameters.
 _PARAMETER = re.compile(r"\$\{([^}:]+)(?::([^}]*))?\}")
 
 
