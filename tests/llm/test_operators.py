@@ -272,6 +272,20 @@ def test_lm_base_scores_and_normalised_classes(spark):
         assert r.score < 0
 
 
+def test_lm_scores_held_out_texts_better_than_the_base(spark):
+    """Texts in which each word tells the next one."""
+    rng = random.Random(23)
+    rows = []
+    for i in range(300):
+        at, out = rng.randrange(26), []
+        for _ in range(120):
+            out.append(WORDS[at])
+            at = (at * 5 + rng.choice((1, 2))) % 26
+        rows.append((i, " ".join(out)))
+    held = lm_scoring.report(table(spark, rows)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert held.s > held.b
+
+
 def test_lm_numbers_are_packed_without_loss():
     for ids in ([], [0], [1, 70_000, 2**24 - 1], [2**24, 5], list(range(1000))):
         assert lm_scoring.unpacked(lm_scoring.packed(np.array(ids, dtype=np.int32))).tolist() == ids
@@ -307,6 +321,35 @@ def test_quality_orders_grades_and_separates_held_out_texts(spark):
     assert np.mean([(r.p_at_least_2 >= 0.5) == (r.doc_id % 3 == 2) for r in out]) > 0.9
 
 
+def test_quality_scores_and_fit_are_those_of_the_definition():
+    """Features counted word by word, tails by the formula, and a fit whose likelihood beats the thresholds alone."""
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randrange(1, 30), 2) + rng.choice(("", " |## 12")) for _ in range(120)]
+    grades = np.array([min(2, t.count("#") + t.count("amber")) for t in texts])
+    model = quality.train([quality.features(t) for t in texts], grades, epochs=5)
+    assert list(model.thresholds) == sorted(model.thresholds)
+
+    def outline(w):
+        return re.sub(r"(.)\1+", r"\1", "".join("a" if c.isalpha() else "9" if c.isdigit() else c for c in w))
+
+    def z(t):
+        words, x = t.split(), collections.Counter()
+        slots = [zlib.crc32(b"o" + outline(w).encode()) % quality.FEATURES for w in words]
+        x.update(zlib.crc32(b"w" + w.lower().encode()) % quality.FEATURES for w in words)
+        x.update(slots)
+        x.update((a * 31 + b * 17 + 1) % quality.FEATURES for a, b in itertools.pairwise(slots))
+        shape = [not words, math.log1p(len(words)) / 10, len(words) / (t.count("\n") + 1) / 100, len(set(words)) / max(1, len(words)), len(t) / max(1, len(words)) / 10, sum(map(t.count, "|{}<>=")) / max(1, len(t)) * 10]
+        return sum(model.weights[k] * math.sqrt(n / max(1, len(words))) for k, n in x.items()) + sum(w * min(v, 5.0) for w, v in zip(model.weights[quality.FEATURES :], shape, strict=True))
+
+    tails = model.tails(texts)
+    for t, row in zip(texts, tails, strict=True):
+        assert row == pytest.approx([1 / (1 + math.exp(c - z(t))) for c in model.thresholds], rel=1e-6)
+    edge = np.column_stack((np.ones(len(texts)), tails, np.zeros(len(texts))))
+    likelihood = np.log(edge[np.arange(len(texts)), grades] - edge[np.arange(len(texts)), grades + 1]).mean()
+    share = np.bincount(grades, minlength=3) / len(grades)
+    assert likelihood > (share * np.log(np.maximum(share, 1e-9))).sum() + 0.1
+
+
 # -- 5
 
 
