@@ -104,7 +104,7 @@ class Catalog:
             return from_frame(self.spark.read.parquet(self.parquet[name]), binding, serial)
         mapping = self.mappings.get(name)
         if mapping is None:
-            raise CatalogError(f"No mapping found for table: {name}. Add one with --add-mapping")
+            raise CatalogError(f"Table {name} has no mapping; --add-mapping makes one")
         file, path = split(mapping)
         if file == "parquet":
             return from_frame(self.spark.read.parquet(self._absolute(path)), binding, serial)
@@ -119,5 +119,5 @@ class Catalog:
         there = json_files.listing(self.spark, self.data_dir)
         found = wanted if wanted in there else next((f for f in there if f.lower() == wanted.lower()), None)
         if found is None:
-            raise CatalogError(f"JSON file not found: {self._absolute(wanted)}")
+            raise CatalogError(f"There is no file {self._absolute(wanted)}")
         return self._absolute(found)

@@ -39,11 +39,11 @@ def files_of(spark: SparkSession, path: str) -> list[str]:
     """A file, or the .json files of a folder (not of its subfolders)."""
     if not is_directory(spark, path):
         if not exists(spark, path):
-            raise CatalogError(f"JSON file not found: {path}")
+            raise CatalogError(f"There is no file {path}")
         return [path]
     found = [f"{path.rstrip('/')}/{n}" for n in listing(spark, path) if n.lower().endswith(".json")]
     if not found:
-        raise CatalogError(f"No JSON files found in directory: {path}")
+        raise CatalogError(f"The folder {path} holds no .json file")
     return found
 
 
