@@ -426,6 +426,25 @@ def test_line_dedup_query_removes_short_lines_too(spark, tmp_path):
     assert 3 not in {r.doc_id for r in stage(spark, table(spark, rows), str(tmp_path)).collect()}
 
 
+def test_line_dedup_is_exact_whatever_the_keys(spark, monkeypatch):
+    """Keys that many words share, small groups taken for large ones, and all joins by shuffles."""
+    for name, value in {"HOT": 4, "HEADS": 2, "KEY_BITS": 5, "SAMPLE": 3, "_few": lambda *_: False}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = random.Random(23)
+    base = [prose(rng, rng.randrange(2, 30)).split() for _ in range(12)]
+    rows = [(i, "\n".join(" ".join(rng.choice(WORDS) if rng.random() < 0.08 else w for w in rng.choice(base)) for _ in range(6))) for i in range(80)]
+    got = {r.doc_id: (r.n_removed, r.kept_md5) for r in line_dedup.report(table(spark, rows), least=1).collect()}
+    assert got == lines_by_brute_force(rows, least=1)
+
+
+def test_line_dedup_shuffles_only_rows_that_may_matter(spark):
+    rows = spark.range(2000).withColumnRenamed("id", "key")
+    got = {r.key for r in line_dedup._sieved(rows, rows.where("key % 40 = 0"), ["key"]).collect()}
+    assert {k for k in range(2000) if k % 40 == 0} <= got and len(got) < 60
+    plan = line_dedup._with_kept(table(spark, [(1, "a b c d e f\ng"), (2, "a b c d e f\nh i")]), 0.8, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = line_dedup.report(table(spark, [(1, "a b c d e f"), (2, "a b c d e f")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
