@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -644,6 +645,15 @@ def test_toxicity_on_held_out_texts(spark):
     assert len(held) > 100 and np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.97
 
 
+def test_toxicity_vocabulary_holds_known_words_once():
+    known = {b"": 0, b"\0word": 1, b"wordy": 2}
+    v = toxicity.Vocabulary(known)
+    assert [v[w] for w in (b"wordy", b"words", b"other", b"words")] == [2, 1, 0, 1]
+    assert len(v) == 5 and not any(isinstance(x, dict) for x in vars(v).values())
+    again = pickle.loads(pickle.dumps(v))
+    assert dict(again) == known == v.known and again[b"words"] == 1
+
+
 def test_toxicity_models_are_brute_force_and_add_up_to_one():
     rng = random.Random(20)
     words = sorted({rng.choice(("abcde", "abcdx", "foo", "barbaz", "quux")) + rng.choice(("", "q", "rs", "tuv")) for _ in range(40)} - {""})

@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +49,25 @@ def path(word: bytes) -> list[bytes]:
 
 
 class Vocabulary(dict):
-    """Numbers of words; an unknown word has that of its longest known beginning, or 0."""
+    """Numbers of words; an unknown word has that of its longest known beginning, or 0.
+
+    The known ones come first, in one dict with the unknown words that were met: a worker holds no second one.
+    """
 
     def __init__(self, known: dict[bytes, int]):
         super().__init__(known)
-        self.known = known
+        self.size = len(known)
+
+    @property
+    def known(self) -> dict[bytes, int]:
+        return dict(islice(self.items(), self.size))
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.known) + 500_000:
-            self.clear()
-            self.update(self.known)
-        at = self[word] = next((self.known[k] for k in reversed(path(word)[:-1]) if k in self.known), 0)
+        if len(self) > self.size + 500_000:
+            while len(self) > self.size:
+                self.popitem()
+        #: Beginnings hold a zero byte and so are never words that were met.
+        at = self[word] = next((self[k] for k in reversed(path(word)[:-1]) if k in self), 0)
         return at
 
     def __reduce__(self):
