@@ -7,6 +7,7 @@ import math
 import pickle
 import random
 import re
+import weakref
 import zlib
 
 import corpus_pipeline
@@ -654,6 +655,19 @@ def test_toxicity_vocabulary_holds_known_words_once():
     assert dict(again) == known == v.known and again[b"words"] == 1
 
 
+def test_a_worker_forgets_other_operators_words():
+    """The pipeline's stages share workers; what one of them remembers is no burden to the next."""
+    model = toxicity.Model(toxicity.Vocabulary({b"": 0}), np.zeros((2, 1)), np.zeros(5), 0.0)
+    path = packing.public_tokenizers.path(packing.RANKS)
+    for other in (lambda: near_dedup.shingles("a b c d e f"), lambda: model.differences([b"a b"])):
+        encoder = packing.encoder(path)
+        assert encoder.ids("some words") and packing.encoder(path) is encoder
+        held = weakref.ref(encoder)
+        del encoder
+        other()
+        assert held() is None
+
+
 def test_toxicity_models_are_brute_force_and_add_up_to_one():
     rng = random.Random(20)
     words = sorted({rng.choice(("abcde", "abcdx", "foo", "barbaz", "quux")) + rng.choice(("", "q", "rs", "tuv")) for _ in range(40)} - {""})

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import Scratch, append_columns, prepare, texts
+from vellum.llm.common import Scratch, append_columns, kept, prepare, texts
 
 WINDOW = 1024
 END = 0
@@ -94,14 +94,12 @@ class _Memory(dict):
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    held = kept("packing", dict)
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def _crc(ids: np.ndarray) -> int:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import Scratch, append_columns, fold_words, id_crc, prepare, raw_texts, shielded
+from vellum.llm.common import Scratch, append_columns, fold_words, id_crc, only, prepare, raw_texts, shielded
 
 SAMPLE = 4000
 BEGINNINGS = (4, 5, 6)
@@ -89,6 +89,7 @@ class Model:
 
     def differences(self, docs: list[bytes]) -> np.ndarray:
         """Of each text the difference of the classes' log likelihoods a word: in all, and in its stretches where it is largest."""
+        only("toxicity")
         out, get = np.zeros((len(docs), 1 + len(STRETCHES))), self.vocabulary.__getitem__
         for d, text in enumerate(docs):
             w = fold_words(text)
