@@ -447,6 +447,21 @@ def test_line_dedup_shuffles_only_rows_that_may_matter(spark):
     assert "Union" in plan
 
 
+def test_line_dedup_joins_postings_once_and_drops_lines_early(spark, monkeypatch):
+    """Members of large groups that their heads don't decide need no second join of all postings, and copies no second table of all lines."""
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    joins, light, dropped = [], [], []
+    candidates, prefixes, drop = line_dedup._candidates, line_dedup._prefixes, line_dedup.Scratch.drop
+    monkeypatch.setattr(line_dedup, "_prefixes", lambda *a: light.append((out := prefixes(*a)).columns) or out)
+    monkeypatch.setattr(line_dedup, "_candidates", lambda *a: joins.append(len(dropped)) or candidates(*a))
+    monkeypatch.setattr(line_dedup.Scratch, "drop", lambda self, *t: dropped.extend(x for x in t if x.columns in light) or drop(self, *t))
+    rng = random.Random(29)
+    rows = [(i, "\n".join(" ".join(rng.choice(WORDS[:9]) for _ in range(9)) for _ in range(4))) for i in range(60)]
+    got = {r.doc_id: (r.n_removed, r.kept_md5) for r in line_dedup.report(table(spark, rows), least=1).collect()}
+    assert got == lines_by_brute_force(rows, least=1)
+    assert joins == [1]
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = line_dedup.report(table(spark, [(1, "a b c d e f"), (2, "a b c d e f")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
