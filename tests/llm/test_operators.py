@@ -548,6 +548,29 @@ def test_near_dedup_takes_ids_of_any_type(spark):
     assert {r.doc_id: (r.class_id, r.class_size) for r in out.collect()} == {"a": ("a", 2), "b": ("a", 2), None: (None, 1)}
 
 
+def test_shingles_of_texts_laid_end_to_end_are_those_of_each():
+    """Words are those of str.lower and str.split; no run reaches into the next text, however texts are batched."""
+    odd = "".join(chr(c) for c in range(0x3100))
+    rows = ["", "  ", "a", "A b", "b A", " a\xa0b\x85c\x1cd\u3000e f G ", "x" * 8 + " " + "x" * 9 + " \0 \0\0 " + "x" * 16 + " " + "x" * 17, "\u0130b \u03a3\u0391\u03a3", odd, "a b c d e f a b c d e f", "f g"]
+    s, tf, each = near_dedup.shingled(rows)
+    named, at = {}, 0
+    for text, n in zip(rows, each.tolist(), strict=True):
+        w = text.lower().split()
+        k = min(5, len(w))
+        runs = collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else {}
+        here, times = s[at : at + n].tolist(), tf[at : at + n].tolist()
+        assert here == sorted(set(here)) and sorted(times) == sorted(runs.values())
+        alone = near_dedup.shingles(text)
+        assert (alone[0].tolist(), alone[1].tolist()) == (here, times)
+        for run in runs:
+            named.setdefault(run, near_dedup.shingles(" ".join(run))[0].tolist())
+            assert named[run][0] in here
+        at += n
+    assert at == len(s) and len({v[0] for v in named.values()}) == len(named) == len(set(s.tolist()))
+    idf = np.full(near_dedup.COUNTERS, 0.5, np.float32)
+    assert near_dedup.signatures(rows * 40, idf) == [c * 40 for c in near_dedup.signatures(rows, idf)]
+
+
 def test_icws_agrees_as_often_as_the_weighted_jaccard_says():
     rng = np.random.default_rng(8)
     s = rng.integers(0, 2**63, 400).astype(np.uint64)
