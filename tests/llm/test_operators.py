@@ -467,6 +467,26 @@ def test_line_dedup_runs_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_line_dedup_sorts_sets_when_lines_and_their_shuffle_are_gone(spark, monkeypatch):
+    """What the ranges and the sort read is a written table, so that the disk need not hold all lines, their shuffle and that of the sort at once."""
+    light, dropped, sorted_ = [], [], []
+    prefixes, drop, save = line_dedup._prefixes, line_dedup.Scratch.drop, line_dedup.Scratch.save
+
+    def saving(self, df):
+        if {"id", "first"} <= set(df.columns):
+            sorted_.append((len(dropped), "Aggregate" in df._jdf.queryExecution().optimizedPlan().toString()))
+        return save(self, df)
+
+    monkeypatch.setattr(line_dedup, "_prefixes", lambda *a: light.append((out := prefixes(*a)).columns) or out)
+    monkeypatch.setattr(line_dedup.Scratch, "drop", lambda self, *t: dropped.extend(x for x in t if x.columns in light) or drop(self, *t))
+    monkeypatch.setattr(line_dedup.Scratch, "save", saving)
+    rng = random.Random(31)
+    rows = [(i, "\n".join(" ".join(rng.choice(WORDS[:9]) for _ in range(9)) for _ in range(4))) for i in range(40)] + [(50, "a b c\na b c"), (51, "A  b c")]
+    got = {r.doc_id: (r.n_removed, r.kept_md5) for r in line_dedup.report(table(spark, rows), least=1).collect()}
+    assert got == lines_by_brute_force(rows, least=1)
+    assert sorted_[0] == (1, False)
+
+
 # -- 6
 
 
