@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables, and on what tables can hold of odd rows."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -487,6 +488,28 @@ def test_line_dedup_sorts_sets_when_lines_and_their_shuffle_are_gone(spark, monk
     assert sorted_[0] == (1, False)
 
 
+def test_line_dedup_meets_sets_by_the_larger_one(spark, tmp_path):
+    """All similar pairs meet, by one shuffle, of which one side takes the words of index prefixes only; none are told apart in the join's tasks."""
+    rng = random.Random(37)
+    base = [rng.sample(range(300), rng.randrange(1, 40)) for _ in range(12)]
+    sets = [sorted({rng.randrange(300) if rng.random() < 0.06 else w for w in rng.choice(base)[: rng.randrange(1, 41)]}) for _ in range(150)]
+    bits = [functools.reduce(lambda a, w: a ^ (1 << w % 63), s, 0) for s in sets]
+    gone = {k for k in range(150) if k % 7 == 0}
+    for t in (0.5, 0.8, 1.0):
+        cut = [(-1 - k if k in gone else k, len(s), b, 0, s[: len(s) - math.ceil(t * len(s) - 1e-9) + 1]) for k, (s, b) in enumerate(zip(sets, bits, strict=True))]
+        spark.createDataFrame(cut, "signed long, size int, odd long, even long, prefix array<int>").write.parquet(str(tmp_path / str(t)))
+        met = line_dedup._meeting(line_dedup._words(spark.read.parquet(str(tmp_path / str(t))), t), t)
+        got = {(r.x, r.y) for r in met.collect()}
+        similar = {(x, y) for x in range(150) for y in range(x) if x not in gone and len({*sets[x]} & {*sets[y]}) >= t * len({*sets[x]} | {*sets[y]}) - 1e-9}
+        assert similar <= got and len(similar) > 10
+        assert all(y < x and x not in gone and bin(bits[x] ^ bits[y]).count("1") <= (len(sets[x]) + len(sets[y])) * (1 - t) / (1 + t) + 1e-9 for x, y in got)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "spark_partition_id" in plan.lower()
+    with settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = line_dedup._meeting(line_dedup._words(spark.read.parquet(str(tmp_path / "0.8")), 0.8), 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") == 1
+
+
 # -- 6
 
 
