@@ -510,6 +510,35 @@ def test_line_dedup_meets_sets_by_the_larger_one(spark, tmp_path):
     assert plan.count("ReusedExchange") == 1
 
 
+def links_by_brute_force(rows, t=0.8):
+    """Of each row its class (the smallest id that links lead to) and how many other lines its lines are similar to."""
+    lines = [(k, w) for k, (_, text) in enumerate(rows) for line in (text or "").split("\n") if (w := set(line.lower().split()))]
+    links, root = [0] * len(rows), list(range(len(rows)))
+    for (k, w), (m, x) in itertools.combinations(lines, 2):
+        if len(w & x) >= t * len(w | x) - 1e-9:
+            links[k] += 1
+            links[m] += 1
+            root = [root[m] if r == root[k] else r for r in root]
+    least = {r: min((i for (i, _), q in zip(rows, root, strict=True) if q == r), key=lambda i: (i is not None, i or 0)) for r in root}
+    return collections.Counter((i, least[r], n) for (i, _), r, n in zip(rows, root, links, strict=True))
+
+
+def test_line_dedup_links_and_classes_are_all_pairs(spark, monkeypatch):
+    """No link of a set that a head of its group decides is left out, and what goes is the same with heads as by all links."""
+    for name, value in {"HOT": 4, "HEADS": 2, "GROUP_SAMPLE": 1}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = random.Random(41)
+    base = [prose(rng, rng.randrange(1, 40)).split() for _ in range(40)]
+    edited = lambda w: " ".join(rng.choice(WORDS) if rng.random() < 0.05 else v for v in w)
+    rows = [(i, "\n".join(edited(rng.choice(base[:4] if rng.random() < 0.3 else base[4:])) for _ in range(rng.randrange(1, 4)))) for i in range(60)]
+    rows += [(100 + i, prose(rng, 12)) for i in range(20)] + [(None, rows[7][1]), (200, rows[9][1]), (200, rows[9][1]), (201, None), (202, ""), (203, "x\nX \n\nx")]
+    got = line_dedup.report(table(spark, rows), least=1).collect()
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == links_by_brute_force(rows)
+    assert any(r.class_id is None and r.doc_id is not None for r in got) and sum(r.n_links for r in got) > 300
+    gone = collections.Counter(r.doc_id for r in line_dedup.repeated(table(spark, rows), least=1).collect())
+    assert gone == collections.Counter({i: n for i in {r.doc_id for r in got} if (n := sum(r.n_removed for r in got if r.doc_id == i))})
+
+
 # -- 6
 
 
