@@ -539,6 +539,36 @@ def test_line_dedup_links_and_classes_are_all_pairs(spark, monkeypatch):
     assert gone == collections.Counter({i: n for i in {r.doc_id for r in got} if (n := sum(r.n_removed for r in got if r.doc_id == i))})
 
 
+def test_line_dedup_counts_pairs_of_large_groups_by_sums(spark, monkeypatch):
+    """Near copies are counted without a row for each pair, by whatever joins; none of their links, copies or removals gets lost."""
+    for name, value in {"CIRCLE_SAMPLE": 1, "CIRCLE": 4}.items():
+        monkeypatch.setattr(line_dedup, name, value, raising=False)
+    met, similar = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda *a: met.append((out := similar(*a)).count()) or out)
+    rng = random.Random(43)
+    base = [[f"w{k}-{rng.randrange(10**6)}" for _ in range(n)] for k, n in enumerate((45, 30, 12))]
+
+    def copy(k, most):
+        w = list(base[k])
+        for _ in range(rng.randrange(most + 1)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS) if rng.random() < 0.5 else f"new{rng.randrange(10**6)}"
+        return " ".join(w[: len(w) - rng.randrange(3)])
+
+    rows = [(i, copy(0, 2)) for i in range(160)] + [(200 + i, copy(k, 6) + "\n" + prose(rng, 9)) for i in range(30) for k in (0, 1, 2)]
+    rows += [(500, rows[3][1]), (501, rows[3][1] + "\n" + rows[3][1]), (None, rows[5][1]), (502, prose(rng, 20)), (503, None)]
+    rng.shuffle(rows)
+    for t, few in ((0.8, line_dedup._few), (0.65, lambda *_: False)):
+        monkeypatch.setattr(line_dedup, "_few", few)
+        got = line_dedup.report(table(spark, rows), t, least=1).collect()
+        want = links_by_brute_force(rows, t)
+        assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == want
+        if t == 0.8:
+            assert met[0] < 0.25 * sum(n for _, _, n in want.elements()) / 2
+            early = [(-1 if i is None else i, x) for i, x in rows if x and (i is None or i < 200)]
+            gone = {i: n for i, (n, _) in lines_by_brute_force(early, least=1).items() if i >= 0}
+            assert {r.doc_id: r.n_removed for r in got if r.doc_id is not None and r.doc_id < 200} == gone
+
+
 # -- 6
 
 
